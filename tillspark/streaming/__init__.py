@@ -1,0 +1 @@
+"""Intentionally empty: the reproduced pipeline is batch only, so there is no streaming job."""
