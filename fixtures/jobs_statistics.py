@@ -1,0 +1,120 @@
+"""Contrast tests, intervals and the statistics report."""
+
+from __future__ import annotations
+
+from fixtures.jobs_reports import _corr, _r, rank_parts
+from fixtures.oracle import over
+from fixtures.registry import register, rounded
+from fixtures.retail_lines import CONTRAST_COUNTRY
+from tillspark.operators import eda, resampling, stats
+from tillspark.operators.features import drop_last_day
+
+
+def _groups(m):
+    return stats.contrast_groups(m["customers"], CONTRAST_COUNTRY)
+
+
+@register(
+    "contrast_sizes",
+    over(
+        f"""SELECT COUNT(*) FILTER (WHERE countries = 1 AND country = '{CONTRAST_COUNTRY}') AS n_inside,
+              COUNT(*) FILTER (WHERE countries = 1 AND country <> '{CONTRAST_COUNTRY}') AS n_outside,
+              COUNT(*) FILTER (WHERE countries > 1) AS excluded_multi_country FROM customers"""
+    ),
+)
+def _(m):
+    return stats.contrast_sizes(m["customers"], CONTRAST_COUNTRY)
+
+
+@register(
+    "welch_test",
+    over(
+        f"""SELECT n_a, n_b, {_r('mean_a')} AS mean_a, {_r('mean_b')} AS mean_b,
+              {_r('mean_a - mean_b')} AS mean_difference,
+              {_r('(mean_a - mean_b) / SQRT(va / n_a + vb / n_b)')} AS statistic,
+              {_r('''POWER(va / n_a + vb / n_b, 2) / (POWER(va / n_a, 2) / (n_a - 1)
+                     + POWER(vb / n_b, 2) / (n_b - 1))''')} AS degrees,
+              {_r('''(mean_a - mean_b) / SQRT(((n_a - 1) * va + (n_b - 1) * vb)
+                     / (n_a + n_b - 2))''')} AS cohen_d
+            FROM (SELECT CAST(COUNT(*) FILTER (WHERE inside) AS DOUBLE) AS n_a,
+                         CAST(COUNT(*) FILTER (WHERE NOT inside) AS DOUBLE) AS n_b,
+                         AVG(average_order) FILTER (WHERE inside) AS mean_a,
+                         AVG(average_order) FILTER (WHERE NOT inside) AS mean_b,
+                         VAR_SAMP(average_order) FILTER (WHERE inside) AS va,
+                         VAR_SAMP(average_order) FILTER (WHERE NOT inside) AS vb FROM eligible)"""
+    ),
+)
+def _(m):
+    return rounded(stats.welch(_groups(m), "average_order").drop("var_a", "var_b", "p_value"))
+
+
+@register(
+    "mann_whitney_test",
+    over(
+        f"""SELECT rows, n_a, n_b, rank_sum, ties, u AS statistic,
+              {_r('''(GREATEST(u, n_a * n_b - u) - n_a * n_b / 2 - 0.5)
+                / SQRT(n_a * n_b / 12 * ((rows + 1) - ties / (rows * (rows - 1))))''')} AS z,
+              {_r('2 * u / (n_a * n_b) - 1')} AS rank_biserial
+            FROM (SELECT *, rank_sum - n_a * (n_a + 1) / 2 AS u FROM sums)""",
+        ranked="""SELECT inside, average_order,
+                    RANK() OVER (ORDER BY average_order)
+                      + (COUNT(*) OVER (PARTITION BY average_order) - 1) / 2 AS r FROM eligible""",
+        sums="""SELECT CAST(COUNT(*) AS DOUBLE) AS rows,
+                  CAST(COUNT(*) FILTER (WHERE inside) AS DOUBLE) AS n_a,
+                  CAST(COUNT(*) FILTER (WHERE NOT inside) AS DOUBLE) AS n_b,
+                  SUM(r) FILTER (WHERE inside) AS rank_sum,
+                  (SELECT CAST(SUM(n * n * n - n) AS DOUBLE) FROM (
+                     SELECT COUNT(*) AS n FROM eligible GROUP BY average_order)) AS ties FROM ranked""",
+    ),
+)
+def _(m):
+    return rounded(stats.mann_whitney(_groups(m), "average_order").drop("p_value"))
+
+
+@register("contrast_tests_holm")
+def _(m):
+    return stats.contrast_tests(_groups(m))
+
+
+@register(
+    "orders_vs_average_order",
+    over(
+        f"""SELECT {_r('CORR(orders, average_order)')} AS pearson_r,
+              (SELECT {_r('CORR(r_orders, r_average_order)')} FROM ranked) AS spearman_r FROM eligible""",
+        **rank_parts("eligible", ["orders", "average_order"]),
+    ),
+)
+def _(m):
+    return rounded(stats.association(_groups(m), "orders", "average_order"))
+
+
+@register(
+    "customer_spearman",
+    over(
+        _corr("ranked", {c: f"r_{c}" for c in ("orders", "average_order", "gross_sales")}),
+        **rank_parts("customers", ["orders", "average_order", "gross_sales"]),
+    ),
+)
+def _(m):
+    return rounded(eda.spearman(m["customers"], ["orders", "average_order", "gross_sales"]))
+
+
+@register("bootstrap_difference_interval")
+def _(m):
+    groups = _groups(m)
+    return resampling.bootstrap_difference(groups, "average_order", groups["inside"], "customer_id")
+
+
+@register("block_bootstrap_interval")
+def _(m):
+    return resampling.block_bootstrap_mean(drop_last_day(m["daily"]))
+
+
+@register("normality_diagnostics")
+def _(m):
+    return stats.normality(_groups(m), "average_order", "customer_id")
+
+
+@register("statistics_report")
+def _(m):
+    return stats.statistics_report(m["customers"], m["daily"], CONTRAST_COUNTRY)
