@@ -1,0 +1,370 @@
+"""Features, splits, models, holdout evaluation and inference."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from fixtures.jobs_reports import _corr
+from fixtures.oracle import money, over, total
+from fixtures.registry import plain, register, rounded
+from tillspark.operators import checks, eda, features, forecast, metrics, profile
+from tillspark.schema import FEATURES
+
+FOLDS = 4
+
+
+def _features_sql(keys: str, series: str) -> str:
+    part = f"PARTITION BY {keys[:-2]} " if keys else ""
+    lags = ", ".join(f"LAG(gross_sales, {k}) OVER w AS lag_{k}" for k in (1, 7, 14, 28))
+    mean = lambda n: (
+        f"CASE WHEN COUNT(*) OVER w{n} = {n} THEN "
+        f"CAST(SUM({money('gross_sales')}) OVER w{n} AS DOUBLE) / {n} END AS rolling_{n}"
+    )
+    return f"""
+        SELECT * EXCLUDE (day_of_series), rolling_7 / NULLIF(rolling_28, 0) AS trend_7_28 FROM (
+          SELECT {keys}date, gross_sales AS target,
+            CAST(ISODOW(date) - 1 AS INTEGER) AS weekday, CAST(MONTH(date) AS INTEGER) AS month,
+            SIN(2 * PI() * DAYOFYEAR(date) / 365.25) AS day_of_year_sin,
+            COS(2 * PI() * DAYOFYEAR(date) / 365.25) AS day_of_year_cos,
+            {lags}, {mean(7)}, {mean(28)},
+            CASE WHEN COUNT(*) OVER w7 = 7 THEN STDDEV_SAMP(gross_sales) OVER w7 END AS rolling_std_7,
+            CAST(LAG(orders) OVER w AS DOUBLE) AS lag_orders_1,
+            ROW_NUMBER() OVER w AS day_of_series
+          FROM {series}
+          WINDOW w AS ({part}ORDER BY date),
+                 w7 AS ({part}ORDER BY date ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING),
+                 w28 AS ({part}ORDER BY date ROWS BETWEEN 28 PRECEDING AND 1 PRECEDING))
+        WHERE day_of_series > 28"""
+
+
+PARTS = {
+    "country_days": f"""
+        SELECT country, date, COALESCE(gross_sales, 0) AS gross_sales, COALESCE(orders, 0) AS orders
+        FROM (SELECT country, CAST(UNNEST(GENERATE_SERIES(CAST(a AS TIMESTAMP), CAST(z AS TIMESTAMP),
+                     INTERVAL 1 DAY)) AS DATE) AS date
+              FROM (SELECT country, MIN(date) AS a, MAX(date) AS z FROM lines GROUP BY country))
+        LEFT JOIN (SELECT country, date, {total('gross_sales')} AS gross_sales,
+                     COUNT(DISTINCT CASE WHEN is_sale THEN invoice_id END) AS orders
+                   FROM lines GROUP BY country, date) USING (country, date)""",
+    "history": "SELECT * FROM v_daily WHERE date < (SELECT MAX(date) FROM v_daily)",
+    "country_history": """
+        SELECT * FROM country_days WHERE date < (SELECT MAX(date) FROM country_days)""",
+    "features": _features_sql("", "history"),
+    "country_features": _features_sql("country, ", "country_history"),
+    "numbered_days": """
+        SELECT *, ROW_NUMBER() OVER (ORDER BY date) AS at, COUNT(*) OVER () AS n FROM features""",
+    "split": """
+        SELECT *, CASE WHEN at <= FLOOR(n * CAST(0.65 AS DOUBLE)) THEN 'train'
+                       WHEN at <= FLOOR(n * CAST(0.8 AS DOUBLE)) THEN 'validation' ELSE 'test' END
+                    AS split FROM numbered_days""",
+    "country_split": """
+        SELECT *, CASE WHEN at <= FLOOR(n * CAST(0.65 AS DOUBLE)) THEN 'train'
+                       WHEN at <= FLOOR(n * CAST(0.8 AS DOUBLE)) THEN 'validation' ELSE 'test' END
+                    AS split
+        FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY country ORDER BY date) AS at,
+                     COUNT(*) OVER (PARTITION BY country) AS n FROM country_features)""",
+    "fitting": "SELECT * FROM split WHERE split <> 'test'",
+    "training": "SELECT * FROM split WHERE split = 'train'",
+    "holdout": f"""
+        SELECT date, target, weekday,
+          GREATEST(0, COALESCE(lag_7, (SELECT MEDIAN(target) FROM fitting))) AS seasonal_naive,
+          (SELECT {total('target')} / COUNT(*) FROM fitting) AS dummy_mean
+        FROM split WHERE split = 'test'""",
+}
+ISO = "STRFTIME(date, '%Y-%m-%d') AS date"
+
+
+def _three(columns: list[str]) -> str:
+    return ", ".join(f"ROUND({c}, 3) AS {c}" for c in columns)
+
+
+NUMBERS = ["target", *[f for f in FEATURES if f not in ("weekday", "month")]]
+
+
+@register(
+    "features_daily",
+    over(f"SELECT {ISO}, weekday, month, {_three(NUMBERS)} FROM features", **PARTS),
+)
+def _(m):
+    return rounded(plain(m["features"]), 3)
+
+
+@register(
+    "features_by_country",
+    over(f"SELECT country, {ISO}, weekday, month, {_three(NUMBERS)} FROM country_features", **PARTS),
+)
+def _(m):
+    return rounded(plain(m["country_features"]), 3)
+
+
+@register(
+    "features_future_row",
+    over(
+        f"SELECT {ISO}, weekday, month, {_three(NUMBERS[1:])} FROM later WHERE target IS NULL",
+        **PARTS,
+        longer="""
+          SELECT date, gross_sales, orders FROM history
+          UNION ALL SELECT MAX(date) + INTERVAL 1 DAY, NULL, NULL FROM history""",
+        later=_features_sql("", "longer"),
+    ),
+)
+def _(m):
+    return rounded(plain(_future(m)), 3)
+
+
+def _future(m):
+    built = features.engineer_features(features.drop_last_day(m["daily"]), include_future=True)
+    return built.where(F.col("target").isNull()).drop("target")
+
+
+@register("chronological_split", over(f"SELECT {ISO}, split FROM split", **PARTS))
+def _(m):
+    return plain(m["split"].select("date", "split"))
+
+
+@register(
+    "chronological_split_by_country",
+    over(f"SELECT country, {ISO}, split FROM country_split", **PARTS),
+)
+def _(m):
+    return plain(m["country_split"].select("country", "date", "split"))
+
+
+@register(
+    "split_report",
+    over(
+        """SELECT split, COUNT(*) AS rows, STRFTIME(MIN(date), '%Y-%m-%d') AS start,
+                  STRFTIME(MAX(date), '%Y-%m-%d') AS "end" FROM split GROUP BY split""",
+        **PARTS,
+    ),
+)
+def _(m):
+    return plain(features.split_report(m["split"]))
+
+
+@register(
+    "sample_inference_rows",
+    over(
+        f"""SELECT {ISO}, weekday, month, {_three(NUMBERS[1:])} FROM split WHERE split = 'test'
+            ORDER BY split.date LIMIT 5""",
+        **PARTS,
+    ),
+)
+def _(m):
+    return rounded(plain(features.sample_inference_rows(m["split"])), 3)
+
+
+@register(
+    "feature_unique_counts",
+    over(
+        " UNION ALL ".join(
+            f"SELECT '{c}' AS feature, COUNT(DISTINCT ROUND({c}, 3)) AS train_unique FROM training"
+            for c in FEATURES
+        ),
+        **PARTS,
+    ),
+)
+def _(m):
+    train = rounded(features.block(m["split"], "train").select(*FEATURES), 3)
+    return profile.missing_summary(train).select(
+        F.col("column").alias("feature"), F.col("unique_count").alias("train_unique")
+    )
+
+
+@register("feature_correlations", over(_corr("training", {c: c for c in FEATURES}), **PARTS))
+def _(m):
+    return rounded(profile.correlations(features.block(m["split"], "train"), FEATURES))
+
+
+@register("feature_mutual_information")
+def _(m):
+    return features.mutual_information(features.block(m["split"], "train"))
+
+
+@register(
+    "inference_violations",
+    over(
+        " UNION ALL ".join(
+            f"""SELECT '{c}' AS feature, COUNT(*) FILTER (WHERE {c} IS NOT NULL
+                  AND NOT ISFINITE(CAST({c} AS DOUBLE))) AS violations FROM features"""
+            for c in FEATURES
+        ),
+        **PARTS,
+    ),
+)
+def _(m):
+    return checks.inference_violations(m["features"], FEATURES)
+
+
+@register(
+    "fold_report",
+    over(
+        " UNION ALL ".join(
+            f"""SELECT {i} AS fold,
+                  STRFTIME(MAX(date) FILTER (WHERE at <= n - {FOLDS - i} * size), '%Y-%m-%d') AS train_end,
+                  STRFTIME(MIN(date) FILTER (WHERE at > n - {FOLDS - i} * size), '%Y-%m-%d')
+                    AS validation_start,
+                  COUNT(*) FILTER (WHERE at <= n - {FOLDS - i} * size) AS train_rows,
+                  COUNT(*) FILTER (WHERE at > n - {FOLDS - i} * size
+                    AND at <= n - {FOLDS - i - 1} * size) AS validation_rows FROM sized"""
+            for i in range(FOLDS)
+        ),
+        **PARTS,
+        sized=f"""SELECT date, at, COUNT(*) OVER () AS n, COUNT(*) OVER () // {FOLDS + 1} AS size
+                  FROM training""",
+    ),
+)
+def _(m):
+    return plain(forecast.fold_report(features.block(m["split"], "train"), FOLDS))
+
+
+def _metrics_sql(column: str) -> str:
+    return f"""
+      ROUND(AVG(ABS(target - {column})), 3) AS "MAE",
+      ROUND(SQRT(AVG(POWER(target - {column}, 2))), 3) AS "RMSE",
+      ROUND(CASE WHEN MAX(target) = MIN(target) THEN CAST(SUM(POWER(target - {column}, 2)) = 0 AS DOUBLE)
+           ELSE 1 - SUM(POWER(target - {column}, 2)) / NULLIF(VAR_POP(target) * COUNT(*), 0) END, 3) AS "R2",
+      ROUND(SUM(ABS(target - {column})) / NULLIF(SUM(ABS(target)), 0), 3) AS "WAPE", COUNT(*) AS n"""
+
+
+def _parts(m):
+    split = m["split"]
+    return [features.block(split, s) for s in ("train", "validation", "test")]
+
+
+def _baselines(m):
+    train, validation, test = _parts(m)
+    both = train.unionByName(validation)
+    models = {b: forecast.fit(b, both) for b in forecast.BASELINES}
+    out = test
+    for name, model in models.items():
+        out = forecast.score(model, out).withColumnRenamed("prediction", name)
+    return out.select("date", "target", "weekday", *models)
+
+
+@register(
+    "baseline_predictions",
+    over(f"SELECT {ISO}, weekday, {_three(['target', *forecast.BASELINES])} FROM holdout", **PARTS),
+)
+def _(m):
+    return rounded(plain(_baselines(m)), 3)
+
+
+@register(
+    "baseline_holdout_metrics",
+    over(
+        " UNION ALL ".join(
+            f"SELECT '{b}' AS model, {_metrics_sql(b)} FROM holdout" for b in forecast.BASELINES
+        ),
+        **PARTS,
+    ),
+)
+def _(m):
+    return rounded(forecast.holdout_metrics(_baselines(m), forecast.BASELINES), 3)
+
+
+@register(
+    "baseline_metrics_by_weekday",
+    over(f"SELECT weekday, {_metrics_sql('seasonal_naive')} FROM holdout GROUP BY weekday", **PARTS),
+)
+def _(m):
+    return rounded(
+        forecast.regression_metrics(_baselines(m), "target", "seasonal_naive", ["weekday"]), 3
+    )
+
+
+@register(
+    "forecast_measures",
+    over(
+        """SELECT CAST(YEAR(date) AS INTEGER) AS year,
+             ROUND(AVG(ABS(target - dummy_mean)), 3) AS forecast_mae,
+             ROUND(SQRT(AVG(POWER(target - dummy_mean, 2))), 3) AS forecast_rmse,
+             ROUND(SUM(ABS(target - dummy_mean)) / NULLIF(SUM(target), 0), 3) AS forecast_wape,
+             ROUND(AVG(ABS(target - seasonal_naive)), 3) AS seasonal_baseline_mae,
+             ROUND(AVG(ABS(target - seasonal_naive)) - AVG(ABS(target - dummy_mean)), 3)
+               AS mae_improvement_over_seasonal
+           FROM holdout GROUP BY 1""",
+        **PARTS,
+    ),
+)
+def _(m):
+    evaluated = _baselines(m).withColumnRenamed("dummy_mean", "selected")
+    return rounded(
+        metrics.forecast_measure(
+            evaluated, list(metrics.FORECAST_MEASURES), [F.year("date").alias("year")]
+        ),
+        3,
+    )
+
+
+def _selection(m):
+    train, validation, _test = _parts(m)
+    return m.once("selection", lambda: forecast.compare_candidates(train, validation, k=FOLDS))
+
+
+def _frozen(m):
+    train, validation, _test = _parts(m)
+    return m.once("frozen", lambda: forecast.freeze(_selection(m), train, validation, k=FOLDS))
+
+
+def _holdout(m):
+    return forecast.holdout_predictions(_frozen(m).models, _parts(m)[2])
+
+
+@register("candidate_comparison")
+def _(m):
+    return _selection(m).comparison
+
+
+@register("search_results")
+def _(m):
+    return _frozen(m).search_results
+
+
+@register("tuning_summary")
+def _(m):
+    return _frozen(m).summary
+
+
+@register("holdout_predictions")
+def _(m):
+    return _holdout(m)
+
+
+@register("holdout_metrics")
+def _(m):
+    return forecast.holdout_metrics(_holdout(m), list(_frozen(m).models))
+
+
+@register("holdout_metrics_by_weekday")
+def _(m):
+    return forecast.regression_metrics(_holdout(m), "target", "selected", ["weekday"])
+
+
+@register("residual_histogram")
+def _(m):
+    return eda.histogram(_holdout(m), "residual", 25)
+
+
+@register("residual_summary")
+def _(m):
+    return forecast.residual_summary(_holdout(m))
+
+
+@register("permutation_importance")
+def _(m):
+    return forecast.permutation_importance(_frozen(m).models["selected"], _parts(m)[2])
+
+
+@register("batch_inference")
+def _(m):
+    return forecast.batch_inference(_frozen(m).models["selected"], _future(m), user_supplied=False)
+
+
+@register("panel_ridge_holdout")
+def _(m):
+    """One ridge model over all country series, evaluated per country."""
+    split = m["country_split"]
+    model = forecast.fit("ridge", split.where(F.col("split") != "test"))
+    scored = forecast.score(model, split.where(F.col("split") == "test"))
+    return forecast.regression_metrics(scored, by=["country"])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from fixtures.retail_lines import SCHEMA, source_lines
-from tillspark.operators import cleaning, eda, star, transform
+from tillspark.operators import cleaning, eda, features, star, transform
 from tillspark.plans import views
 from tillspark.sources.workspace import materialize, new_folder
 
@@ -19,6 +19,7 @@ class Mart:
         self.spark, self.sf_dir = spark, sf_dir
         self.folder = new_folder(spark, "mart")
         self.tables: dict[str, DataFrame] = {}
+        self.made: dict[str, object] = {}
         self.recipes: dict[str, Callable[[], DataFrame]] = {
             "source": lambda: source_lines(spark, sf_dir),
             "flagged": lambda: cleaning.flag_lines(self["source"], SCHEMA),
@@ -33,6 +34,14 @@ class Mart:
             "v_invoices": lambda: views.v_invoices(self["fact_sales"]),
             "daily": lambda: transform.daily_series(self["lines"]),
             "country_daily": lambda: transform.daily_series(self["lines"], ["country"]),
+            "features": lambda: features.engineer_features(features.drop_last_day(self["daily"])),
+            "country_features": lambda: features.engineer_features(
+                features.drop_last_day(self["country_daily"]), ["country"]
+            ),
+            "split": lambda: features.chronological_split(self["features"]),
+            "country_split": lambda: features.chronological_split(
+                self["country_features"], by=["country"]
+            ),
             "customers": lambda: eda.customer_summary(self["v_invoices"], self["dim_country"]),
         }
         self.lazy: dict[str, Callable[[], DataFrame]] = {
@@ -47,6 +56,12 @@ class Mart:
             self.tables[name] = materialize(self.recipes[name](), f"{self.folder}/{name}")
         return self.tables[name]
 
+    def once(self, name: str, make: Callable[[], object]):
+        """A fitted object which several jobs share."""
+        if name not in self.made:
+            self.made[name] = make()
+        return self.made[name]
+
 
 _marts: dict[tuple[str, str], Mart] = {}
 
