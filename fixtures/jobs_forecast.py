@@ -52,16 +52,16 @@ PARTS = {
     "features": _features_sql("", "history"),
     "country_features": _features_sql("country, ", "country_history"),
     "numbered_days": """
-        SELECT *, ROW_NUMBER() OVER (ORDER BY date) AS at, COUNT(*) OVER () AS n FROM features""",
+        SELECT *, ROW_NUMBER() OVER (ORDER BY date) AS pos, COUNT(*) OVER () AS n FROM features""",
     "split": """
-        SELECT *, CASE WHEN at <= FLOOR(n * CAST(0.65 AS DOUBLE)) THEN 'train'
-                       WHEN at <= FLOOR(n * CAST(0.8 AS DOUBLE)) THEN 'validation' ELSE 'test' END
+        SELECT *, CASE WHEN pos <= FLOOR(n * CAST(0.65 AS DOUBLE)) THEN 'train'
+                       WHEN pos <= FLOOR(n * CAST(0.8 AS DOUBLE)) THEN 'validation' ELSE 'test' END
                     AS split FROM numbered_days""",
     "country_split": """
-        SELECT *, CASE WHEN at <= FLOOR(n * CAST(0.65 AS DOUBLE)) THEN 'train'
-                       WHEN at <= FLOOR(n * CAST(0.8 AS DOUBLE)) THEN 'validation' ELSE 'test' END
+        SELECT *, CASE WHEN pos <= FLOOR(n * CAST(0.65 AS DOUBLE)) THEN 'train'
+                       WHEN pos <= FLOOR(n * CAST(0.8 AS DOUBLE)) THEN 'validation' ELSE 'test' END
                     AS split
-        FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY country ORDER BY date) AS at,
+        FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY country ORDER BY date) AS pos,
                      COUNT(*) OVER (PARTITION BY country) AS n FROM country_features)""",
     "fitting": "SELECT * FROM split WHERE split <> 'test'",
     "training": "SELECT * FROM split WHERE split = 'train'",
@@ -74,8 +74,18 @@ PARTS = {
 ISO = "STRFTIME(date, '%Y-%m-%d') AS date"
 
 
-def _three(columns: list[str]) -> str:
-    return ", ".join(f"ROUND({c}, 3) AS {c}" for c in columns)
+# Only these depend on the order of summation or on the mathematics library.
+INEXACT = ["day_of_year_sin", "day_of_year_cos", "rolling_std_7", "dummy_mean"]
+
+
+def _listed(columns: list[str]) -> str:
+    return ", ".join(f"ROUND({c}, 3) AS {c}" if c in INEXACT else c for c in columns)
+
+
+def _tidy(df):
+    """Plain types, with the inexact columns rounded."""
+    cols = [F.round(c, 3).alias(c) if c in INEXACT else F.col(c) for c in df.columns]
+    return plain(df.select(*cols))
 
 
 NUMBERS = ["target", *[f for f in FEATURES if f not in ("weekday", "month")]]
@@ -83,24 +93,24 @@ NUMBERS = ["target", *[f for f in FEATURES if f not in ("weekday", "month")]]
 
 @register(
     "features_daily",
-    over(f"SELECT {ISO}, weekday, month, {_three(NUMBERS)} FROM features", **PARTS),
+    over(f"SELECT {ISO}, weekday, month, {_listed(NUMBERS)} FROM features", **PARTS),
 )
 def _(m):
-    return rounded(plain(m["features"]), 3)
+    return _tidy(m["features"])
 
 
 @register(
     "features_by_country",
-    over(f"SELECT country, {ISO}, weekday, month, {_three(NUMBERS)} FROM country_features", **PARTS),
+    over(f"SELECT country, {ISO}, weekday, month, {_listed(NUMBERS)} FROM country_features", **PARTS),
 )
 def _(m):
-    return rounded(plain(m["country_features"]), 3)
+    return _tidy(m["country_features"])
 
 
 @register(
     "features_future_row",
     over(
-        f"SELECT {ISO}, weekday, month, {_three(NUMBERS[1:])} FROM later WHERE target IS NULL",
+        f"SELECT {ISO}, weekday, month, {_listed(NUMBERS[1:])} FROM later WHERE target IS NULL",
         **PARTS,
         longer="""
           SELECT date, gross_sales, orders FROM history
@@ -109,7 +119,7 @@ def _(m):
     ),
 )
 def _(m):
-    return rounded(plain(_future(m)), 3)
+    return _tidy(_future(m))
 
 
 def _future(m):
@@ -145,13 +155,13 @@ def _(m):
 @register(
     "sample_inference_rows",
     over(
-        f"""SELECT {ISO}, weekday, month, {_three(NUMBERS[1:])} FROM split WHERE split = 'test'
+        f"""SELECT {ISO}, weekday, month, {_listed(NUMBERS[1:])} FROM split WHERE split = 'test'
             ORDER BY split.date LIMIT 5""",
         **PARTS,
     ),
 )
 def _(m):
-    return rounded(plain(features.sample_inference_rows(m["split"])), 3)
+    return _tidy(features.sample_inference_rows(m["split"]))
 
 
 @register(
@@ -201,16 +211,16 @@ def _(m):
     over(
         " UNION ALL ".join(
             f"""SELECT {i} AS fold,
-                  STRFTIME(MAX(date) FILTER (WHERE at <= n - {FOLDS - i} * size), '%Y-%m-%d') AS train_end,
-                  STRFTIME(MIN(date) FILTER (WHERE at > n - {FOLDS - i} * size), '%Y-%m-%d')
+                  STRFTIME(MAX(date) FILTER (WHERE pos <= n - {FOLDS - i} * size), '%Y-%m-%d') AS train_end,
+                  STRFTIME(MIN(date) FILTER (WHERE pos > n - {FOLDS - i} * size), '%Y-%m-%d')
                     AS validation_start,
-                  COUNT(*) FILTER (WHERE at <= n - {FOLDS - i} * size) AS train_rows,
-                  COUNT(*) FILTER (WHERE at > n - {FOLDS - i} * size
-                    AND at <= n - {FOLDS - i - 1} * size) AS validation_rows FROM sized"""
+                  COUNT(*) FILTER (WHERE pos <= n - {FOLDS - i} * size) AS train_rows,
+                  COUNT(*) FILTER (WHERE pos > n - {FOLDS - i} * size
+                    AND pos <= n - {FOLDS - i - 1} * size) AS validation_rows FROM sized"""
             for i in range(FOLDS)
         ),
         **PARTS,
-        sized=f"""SELECT date, at, COUNT(*) OVER () AS n, COUNT(*) OVER () // {FOLDS + 1} AS size
+        sized=f"""SELECT date, pos, COUNT(*) OVER () AS n, COUNT(*) OVER () // {FOLDS + 1} AS size
                   FROM training""",
     ),
 )
@@ -244,10 +254,10 @@ def _baselines(m):
 
 @register(
     "baseline_predictions",
-    over(f"SELECT {ISO}, weekday, {_three(['target', *forecast.BASELINES])} FROM holdout", **PARTS),
+    over(f"SELECT {ISO}, weekday, {_listed(['target', *forecast.BASELINES])} FROM holdout", **PARTS),
 )
 def _(m):
-    return rounded(plain(_baselines(m)), 3)
+    return _tidy(_baselines(m))
 
 
 @register(
@@ -299,16 +309,16 @@ def _(m):
 
 def _selection(m):
     train, validation, _test = _parts(m)
-    return m.once("selection", lambda: forecast.compare_candidates(train, validation, k=FOLDS))
+    return m.once("selection", lambda: forecast.compare_candidates(train, validation, k=FOLDS, parallelism=8))
 
 
-def _frozen(m):
+def frozen_models(m):
     train, validation, _test = _parts(m)
-    return m.once("frozen", lambda: forecast.freeze(_selection(m), train, validation, k=FOLDS))
+    return m.once("frozen", lambda: forecast.freeze(_selection(m), train, validation, k=FOLDS, parallelism=8))
 
 
 def _holdout(m):
-    return forecast.holdout_predictions(_frozen(m).models, _parts(m)[2])
+    return forecast.holdout_predictions(frozen_models(m).models, _parts(m)[2])
 
 
 @register("candidate_comparison")
@@ -318,12 +328,12 @@ def _(m):
 
 @register("search_results")
 def _(m):
-    return _frozen(m).search_results
+    return frozen_models(m).search_results
 
 
 @register("tuning_summary")
 def _(m):
-    return _frozen(m).summary
+    return frozen_models(m).summary
 
 
 @register("holdout_predictions")
@@ -333,7 +343,7 @@ def _(m):
 
 @register("holdout_metrics")
 def _(m):
-    return forecast.holdout_metrics(_holdout(m), list(_frozen(m).models))
+    return forecast.holdout_metrics(_holdout(m), list(frozen_models(m).models))
 
 
 @register("holdout_metrics_by_weekday")
@@ -353,12 +363,12 @@ def _(m):
 
 @register("permutation_importance")
 def _(m):
-    return forecast.permutation_importance(_frozen(m).models["selected"], _parts(m)[2])
+    return forecast.permutation_importance(frozen_models(m).models["selected"], _parts(m)[2])
 
 
 @register("batch_inference")
 def _(m):
-    return forecast.batch_inference(_frozen(m).models["selected"], _future(m), user_supplied=False)
+    return forecast.batch_inference(frozen_models(m).models["selected"], _future(m), user_supplied=False)
 
 
 @register("panel_ridge_holdout")

@@ -75,6 +75,7 @@ def plain(df: DataFrame) -> DataFrame:
 
 def _load() -> None:
     from fixtures import (  # noqa: F401  importing them registers their jobs
+        jobs_exports,
         jobs_forecast,
         jobs_questions,
         jobs_reports,

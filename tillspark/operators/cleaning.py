@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -17,7 +16,7 @@ from tillspark.functions.columns import (
     same,
     timestamp,
 )
-from tillspark.operators.ordered import ROWS_PER_BUCKET, row_numbers
+from tillspark.operators.ordered import ROWS_PER_BUCKET, keep, row_numbers
 from tillspark.schema import COLUMN_MAP, UNKNOWN, SourceSchema
 
 # Rule labels in the order in which they appear in a reason string.
@@ -53,20 +52,21 @@ def mark_overlap_copies(
     )
     suspects = raw.join(in_two, same(raw, in_two, {k: f"_2_{k}" for k in keys}), "left_semi")
     earlier = W.partitionBy(*keys).orderBy(sheet).rowsBetween(W.unboundedPreceding, -1)
-    per_sheet = (
+    per_sheet = keep(
         suspects.groupBy(*keys, sheet)
         .agg(F.count(F.lit(1)).alias("_here"))
         .withColumn("_before", F.max("_here").over(earlier))
         .where(F.col("_before").isNotNull())
-        .persist(StorageLevel.MEMORY_AND_DISK)
     )
     partly = per_sheet.where(F.col("_before") < F.col("_here")).select(
         *[F.col(c).alias(f"_p_{c}") for c in [*keys, sheet]], F.col("_before").alias("_keep_after")
     )
     numbered = row_numbers(
-        raw.join(partly, same(raw, partly, {c: f"_p_{c}" for c in [*keys, sheet]}))
-        .select(*keys, sheet, order, "_keep_after")
-        .persist(StorageLevel.MEMORY_AND_DISK),
+        keep(
+            raw.join(partly, same(raw, partly, {c: f"_p_{c}" for c in [*keys, sheet]})).select(
+                *keys, sheet, order, "_keep_after"
+            )
+        ),
         [F.col(order)],
         "_nth",
         [*keys, sheet],

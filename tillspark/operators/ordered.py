@@ -10,7 +10,9 @@ its own and shifted by the totals of the buckets before it.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
@@ -18,6 +20,32 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+_scratch: ContextVar[list[DataFrame] | None] = ContextVar("scratch", default=None)
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Persist an intermediate which is read several times (spilling to disk)."""
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    if (frames := _scratch.get()) is not None:
+        frames.append(kept)
+    return kept
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Release the intermediates of all operators called inside, on leaving.
+
+    Run the actions inside the block. Without it, intermediates stay cached for the session.
+    """
+    token = _scratch.set([])
+    try:
+        yield
+    finally:
+        for df in _scratch.get() or []:
+            df.unpersist()
+        _scratch.reset(token)
+
+
 ROWS_PER_BUCKET = 1_000_000
 MAX_BUCKETS = 8192
 SAMPLE_PER_BUCKET = 16
@@ -140,11 +168,10 @@ def value_ranks(
     `counts` adds further conditional counts per value (NULLs in `column` are left out).
     """
     extra = {name: F.sum(c.cast("bigint")).alias(name) for name, c in (counts or {}).items()}
-    per_value = (
+    per_value = keep(
         df.where(F.col(column).isNotNull())
         .groupBy(*by, column)
         .agg(F.count(F.lit(1)).alias("n"), *extra.values())
-        .persist(StorageLevel.MEMORY_AND_DISK)
     )
     run = running_totals(
         per_value, [F.col(column)], {"upto": F.col("n")}, by, rows_per_bucket

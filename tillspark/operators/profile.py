@@ -5,14 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations_with_replacement
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from tillspark.functions.columns import count_if, sample_kurtosis, sample_skewness
-from tillspark.operators.ordered import ROWS_PER_BUCKET, exact_quantiles, wide_quantiles
+from tillspark.operators.ordered import ROWS_PER_BUCKET, exact_quantiles, keep, wide_quantiles
 
 
 def _absent(df: DataFrame, c: str) -> Column:
@@ -161,7 +160,7 @@ def top_categories(counts: DataFrame, columns: Sequence[str], k: int = 10) -> Da
 
 def profile(df: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> dict[str, DataFrame]:
     """All profile tables of a frame, by name."""
-    counts = value_counts(df).persist(StorageLevel.MEMORY_AND_DISK)
+    counts = keep(value_counts(df))
     summary = missing_summary(df, counts)
     numbers = numeric_columns(df)
     rows = df.agg(F.count(F.lit(1))).scalar()
