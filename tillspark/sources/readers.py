@@ -11,7 +11,16 @@ from pyspark.sql import types as T
 from tillspark.operators.checks import CheckFailed
 
 # Fixed value: what Spark puts in place of bytes which are not UTF-8.
-REPLACEMENT = "�"
+REPLACEMENT = "\ufffd"
+
+# Quotes are doubled and blanks kept, so text survives a round trip unchanged.
+CSV = {
+    "header": True,
+    "encoding": "UTF-8",
+    "escape": '"',
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+}
 
 
 def read_frame(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -29,9 +38,7 @@ def read_frame(spark: SparkSession, path: str, schema: T.StructType | None = Non
     if suffix == "parquet":
         df = reader.parquet(path)
     elif suffix == "csv":
-        df = reader.csv(
-            path, header=True, mode="FAILFAST", encoding="UTF-8", escape='"', multiLine=False
-        )
+        df = reader.options(**CSV).csv(path, mode="FAILFAST")
     else:
         df = reader.json(path, mode="FAILFAST", encoding="UTF-8")
     if df.isEmpty():

@@ -8,20 +8,26 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_local_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The session's `spark.checkpoint.dir`.
 
-    Unset, a local session gets a new temporary folder; a cluster session is refused, because
-    a folder of one machine is not visible to the executors.
+    Unset, a local session gets a temporary folder of its own; a cluster session is refused,
+    because a folder of one machine is not visible to the executors.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
         raise ValueError("Set spark.checkpoint.dir to a folder which all executors can reach")
-    folder = tempfile.mkdtemp(prefix="tillspark-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    app = context.applicationId
+    if app not in _local_folders:
+        _local_folders[app] = tempfile.mkdtemp(prefix="tillspark-")
+        context.setCheckpointDir(_local_folders[app])
+    return _local_folders[app]
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
