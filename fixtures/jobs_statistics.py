@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from fixtures.jobs_reports import _corr, _r, rank_parts
 from fixtures.oracle import over
 from fixtures.registry import register, rounded
@@ -118,3 +120,25 @@ def _(m):
 @register("statistics_report")
 def _(m):
     return stats.statistics_report(m["customers"], m["daily"], CONTRAST_COUNTRY)
+
+
+@register("contrast_interval_table")
+def _(m):
+    groups = _groups(m)
+    center = stats.welch(groups, "average_order").select("mean_difference")
+    ends = resampling.bootstrap_difference(
+        groups, "average_order", groups["inside"], "customer_id"
+    )
+    row = center.withColumn("e", ends.select(F.struct("low", "high")).scalar())
+    return eda.interval_table(F.col("mean_difference"), F.col("e.low"), F.col("e.high"), row)
+
+
+@register(
+    "monthly_completeness",
+    over(
+        """SELECT COUNT(*) AS months, COUNT(*) FILTER (WHERE complete_month = 0) AS incomplete_months
+           FROM v_monthly"""
+    ),
+)
+def _(m):
+    return eda.month_completeness(m["v_monthly"])

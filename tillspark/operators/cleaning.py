@@ -44,9 +44,11 @@ def mark_overlap_copies(
     line copied a billion times does not become one task.
     """
     keys, sheet, order = list(schema.required), schema.sheet, schema.order
+    # sheets are compared by 64-bit hash here: a text buffer would force a sort-based aggregate
+    tag = F.xxhash64(sheet)
     in_two = (
         raw.groupBy(*keys)
-        .agg(F.min(sheet).alias("_first"), F.max(sheet).alias("_last"))
+        .agg(F.min(tag).alias("_first"), F.max(tag).alias("_last"))
         .where(F.col("_first") < F.col("_last"))
         .select(*[F.col(k).alias(f"_2_{k}") for k in keys])
     )

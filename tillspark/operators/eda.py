@@ -36,20 +36,33 @@ def positive_invoices(invoices: DataFrame, countries: DataFrame) -> DataFrame:
 
 
 def customer_summary(invoices: DataFrame, countries: DataFrame) -> DataFrame:
-    """One row per known customer over invoice groups with positive sales."""
+    """One row per known customer over invoice groups with positive sales.
+
+    Country keys are dense in name order, so the least key is the least name; names are looked
+    up once per customer.
+    """
     positive = invoices.where((F.col("customer_id") != UNKNOWN) & (F.col("gross_sales") > 0))
     n, value = F.count(F.lit(1)), F.sum(money("gross_sales")).cast("double")
     return (
-        positive.join(countries, "country_id")
-        .groupBy("customer_id")
+        positive.groupBy("customer_id")
         .agg(
             n.alias("orders"),
             (value / n).alias("average_order"),
             value.alias("gross_sales"),
-            F.count_distinct("country").alias("countries"),
-            F.min("country").alias("country"),
+            F.count_distinct("country_id").alias("countries"),
+            F.min("country_id").alias("country_id"),
             F.max(flag(F.col("cancellation_value") > 0)).alias("ever_cancelled"),
         )
+        .join(countries, "country_id")
+        .select(
+            "customer_id",
+            "orders",
+            "average_order",
+            "gross_sales",
+            "countries",
+            "country",
+            "ever_cancelled",
+        )
     )
 
 
@@ -158,6 +171,14 @@ def daily_summary(daily: DataFrame) -> DataFrame:
     )
 
 
+def month_completeness(monthly: DataFrame) -> DataFrame:
+    """Number of months and of months which the source covers only in part."""
+    return monthly.agg(
+        F.count(F.lit(1)).alias("months"),
+        count_if(F.col("complete_month") == 0).alias("incomplete_months"),
+    )
+
+
 def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
     """Equal-width bins between the extremes as (bin, low, high, n); the last bin is closed.
 
