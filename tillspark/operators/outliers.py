@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillspark.functions.columns import count_if, is_nonfinite, number
-from tillspark.operators.ordered import ROWS_PER_BUCKET, exact_quantiles, wide_quantiles
+from tillspark.operators.ordered import ROWS_PER_BUCKET, exact_quantiles, keep, wide_quantiles
 
 # Rule parameters.
 IQR_FACTOR = 1.5
@@ -48,7 +48,7 @@ def limits(
         )
         .select(*by, F.inline("s"))
     )
-    both = marks.join(spread, [*by, "column"])
+    both = keep(marks.join(spread, [*by, "column"]))  # one row per column and key
     medians = _wide(both.select(*by, "column", "median"), columns, ["median"], by)
     deviations = attach(values, medians, by).select(
         *by, *[F.abs(F.col(c) - F.col(f"_limits.{c}.median")).alias(c) for c in columns]
