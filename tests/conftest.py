@@ -1,4 +1,5 @@
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -16,6 +17,7 @@ def make_session() -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
+        .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="tillspark-tests-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

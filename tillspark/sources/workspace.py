@@ -2,32 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-_local_folders: dict[str, str] = {}
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """The session's `spark.checkpoint.dir`.
+    """The session's `spark.checkpoint.dir`, or a folder below its warehouse where that is unset.
 
-    Unset, a local session gets a temporary folder of its own; a cluster session is refused,
-    because a folder of one machine is not visible to the executors.
+    Driver and executors reach both through Hadoop's file systems.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
-        raise ValueError("Set spark.checkpoint.dir to a folder which all executors can reach")
-    app = context.applicationId
-    if app not in _local_folders:
-        _local_folders[app] = tempfile.mkdtemp(prefix="tillspark-")
-        context.setCheckpointDir(_local_folders[app])
-    return _local_folders[app]
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tillspark-scratch"
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
@@ -40,3 +28,9 @@ def materialize(df: DataFrame, path: str) -> DataFrame:
     """Write as Parquet and read back, which cuts the lineage and survives lost executors."""
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table written by `materialize` which nothing reads any more."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
