@@ -8,11 +8,11 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillspark.llm import simhash
+from tillspark.llm import pieces, quality, simhash
 from tillspark.llm.scratch import table
 
 # Python workers need not have the package installed: its functions travel with the task.
-for _module in (simhash,):
+for _module in (pieces, quality, simhash):
     cloudpickle.register_pickle_by_value(_module)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,33 @@ def register(name: str, sql: str | None = None):
     return keep
 
 
+def vocabulary() -> pieces.Vocabulary:
+    """The public 32k model; its path is a parameter of `Vocabulary.load`."""
+    import public_tokenizers
+
+    return pieces.Vocabulary.load(public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@register("op4_quality")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit_line_model(docs, table(spark, sf_dir, "labels"))
+    return quality.assess(docs, model).select("doc_id", "_quality.*")
+
+
+@register("op8_sentencepiece")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, known = table(spark, sf_dir, "documents"), vocabulary()
+    ids = docs.select("doc_id", pieces.encoded(spark, docs["text"], known).alias("ids"))
+    both = ids.select("doc_id", "ids", pieces.decoded(spark, F.col("ids"), known).alias("text"))
+    return both.select(
+        "doc_id",
+        pieces.token_count(F.col("ids")).alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 @register("op9_simhash")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
