@@ -27,7 +27,7 @@ _LOWER = bytes(range(97, 123))
 _DIGITS = bytes(range(48, 58))
 #: Names of the line features.
 FEATURES = (
-    "one words symbols shouting digits few_words repeated long_words marks_at_ends"
+    "one words symbols shouting digits few_words repeated same_words marks_at_ends"
 ).split()
 
 
@@ -35,11 +35,12 @@ def _share(line: bytes, kind: bytes, size: int) -> float:
     return (len(line) - len(line.translate(None, kind))) / size
 
 
-def line_features(lines: list[bytes], counts: list[int]) -> np.ndarray:
+def line_features(lines: list[bytes], by_line: list[list[bytes]]) -> np.ndarray:
     """Features of the lines of one text which have a word."""
     seen: set[bytes] = set()
     rows = []
-    for line, words in zip(lines, counts, strict=True):
+    for line, its_words in zip(lines, by_line, strict=True):
+        words = len(its_words)
         if not words:
             continue
         size = len(line)
@@ -54,7 +55,7 @@ def line_features(lines: list[bytes], counts: list[int]) -> np.ndarray:
                 _share(line, _DIGITS, size),
                 float(words < 4),
                 float(line in seen),
-                float(size / words > 14),
+                1 - len(set(its_words)) / words,
                 min(1.0, 4 * line.count(b"!! ") / words),
             )
         )
@@ -94,7 +95,7 @@ class LineModel:
         return LineModel(np.zeros(len(FEATURES)), np.zeros((2, 2)))
 
     @staticmethod
-    def fit(texts: list[tuple[np.ndarray, int]], rounds: int = 150, ridge: float = 1e-3) -> LineModel:
+    def fit(texts: list[tuple[np.ndarray, int]], rounds: int = 150, ridge: float = 1e-4) -> LineModel:
         """Maximum likelihood over texts given as (line features, state of all lines)."""
         texts = [(x, y) for x, y in texts if len(x)]
         if len({y for _, y in texts}) < 2:
@@ -177,7 +178,7 @@ def _measure(text: str, model: LineModel) -> tuple[int, ...]:
         if n:
             again += line in seen
             seen.add(line)
-    labels = model.labels(line_features(lines, counts))
+    labels = model.labels(line_features(lines, by_line))
     with_words = [n for n in counts if n]
     return (
         len(words),
@@ -211,8 +212,8 @@ def fit_line_model(
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "quality",
-    texts_per_label: int = 600,
-    lines_per_text: int = 400,
+    texts_per_label: int = 500,
+    lines_per_text: int = 60,
 ) -> LineModel:
     """Fit on at most `texts_per_label` texts of each label, chosen by a hash of their id.
 
@@ -234,7 +235,7 @@ def fit_line_model(
         out = []
         for text in texts:
             lines = text.encode("utf-8", "replace").split(b"\n")
-            x = line_features(lines, [len(line.split()) for line in lines])
+            x = line_features(lines, [line.split() for line in lines])
             out.append(x.ravel() if len(x) <= lines_per_text else np.zeros(0))
         return pd.Series(out, dtype=object)
 
