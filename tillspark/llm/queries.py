@@ -8,7 +8,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillspark.llm import pieces, quality, simhash
+from tillspark.llm import pieces, pii, quality, simhash
 from tillspark.llm.scratch import table
 
 # Python workers need not have the package installed: its functions travel with the task.
@@ -29,6 +29,10 @@ def register(name: str, sql: str | None = None):
     return keep
 
 
+def _of_kind(name: str):
+    return lambda span: span["kind"] == name
+
+
 def vocabulary() -> pieces.Vocabulary:
     """The public 32k model; its path is a parameter of `Vocabulary.load`."""
     import public_tokenizers
@@ -36,6 +40,21 @@ def vocabulary() -> pieces.Vocabulary:
     return pieces.Vocabulary.load(public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@register("op2_pii")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = pii.base_only(F.col("_spans"))
+    return found.select(
+        "doc_id",
+        *[
+            F.size(F.filter("_spans", _of_kind(k.name))).cast("long").alias(f"n_{k.name}")
+            for k in pii.BASE
+        ],
+        F.sha2(pii.named(base), 256).alias("base_sha256"),
+        pii.named(F.col("_spans")).alias("spans"),
+    )
+
+
 @register("op4_quality")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
