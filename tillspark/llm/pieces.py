@@ -30,7 +30,7 @@ NONE = np.iinfo(np.int32).max
 #: Piece kinds of the model file, fixed by its format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE = 1, 2, 3, 4, 6
 #: Words whose ids a worker keeps, and characters which are merged in one flat array.
-CACHED_WORDS, FLAT_CHARACTERS = 400_000, 400_000
+CACHED_WORDS, FLAT_CHARACTERS = 200_000, 300_000
 
 _SEGMENTS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
@@ -338,6 +338,25 @@ def decoded(spark: SparkSession, packed: Column, vocabulary: Vocabulary) -> Colu
     return decode(F.coalesce(packed, F.lit(b"")))
 
 
+def round_trip(spark: SparkSession, text: Column, vocabulary: Vocabulary) -> Column:
+    """(ids, text): the packed ids of a text and what they decode to, in one pass of one worker."""
+    shared = spark.sparkContext.broadcast(vocabulary)
+
+    @F.pandas_udf("ids binary, text string")
+    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        import codecs
+
+        codecs.register_error("sp_replace", _replace_one)
+        encoder = Encoder(shared.value)
+        for texts in batches:
+            ids = encoder(texts.tolist())
+            del texts
+            back = [decode_ids(shared.value, i) for i in ids]
+            yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "text": back})
+
+    return both(F.coalesce(text, F.lit("")))
+
+
 def token_count(packed: Column) -> Column:
     return (F.octet_length(packed) / 4).cast("long")
 

@@ -65,8 +65,9 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op8_sentencepiece")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, known = table(spark, sf_dir, "documents"), vocabulary()
-    ids = docs.select("doc_id", pieces.encoded(spark, docs["text"], known).alias("ids"))
-    both = ids.select("doc_id", "ids", pieces.decoded(spark, F.col("ids"), known).alias("text"))
+    both = docs.select("doc_id", pieces.round_trip(spark, docs["text"], known).alias("_p")).select(
+        "doc_id", "_p.*"
+    )
     return both.select(
         "doc_id",
         pieces.token_count(F.col("ids")).alias("n_tokens"),
