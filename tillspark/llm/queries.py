@@ -8,8 +8,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillspark.llm import pieces, pii, quality, simhash
-from tillspark.llm.scratch import table
+from tillspark.llm import mixing, pieces, pii, quality, sharding, simhash
+from tillspark.llm.scratch import table, text_of, word_count
 
 # Python workers need not have the package installed: its functions travel with the task.
 for _module in (pieces, quality, simhash):
@@ -62,6 +62,20 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(docs, model).select("doc_id", "_quality.*")
 
 
+@register("op6_mixing")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    sizes = docs.select("doc_id", "source", word_count(text_of(docs)).alias("size"))
+    return mixing.mix(sizes).select(
+        "doc_id",
+        "size",
+        "source_size",
+        "target",
+        (F.col("copies") * F.col("size")).alias("taken"),
+        "copies",
+    )
+
+
 @register("op8_sentencepiece")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, known = table(spark, sf_dir, "documents"), vocabulary()
@@ -84,3 +98,18 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"),
         "component_id",
     )
+
+
+@register("op10_sharding")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    checked = docs.withColumn("text_crc32", F.crc32(text_of(docs).cast("binary")))
+    return sharding.shard(checked, 40).select(
+        "doc_id",
+        F.col("_size").alias("size"),
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        F.col("_shard").alias("shard"),
+        F.col("_slot").alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
