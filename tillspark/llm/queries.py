@@ -8,7 +8,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillspark.llm import mixing, pieces, pii, quality, sharding, simhash
+from tillspark.llm import chat, mixing, pieces, pii, quality, sharding, simhash
 from tillspark.llm.scratch import table, text_of, word_count
 
 # Python workers need not have the package installed: its functions travel with the task.
@@ -62,6 +62,36 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(docs, model).select("doc_id", "_quality.*")
 
 
+@register("op5_chat")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    probe = spark.createDataFrame(
+        [(-1, 0, "user", said), (-1, 1, "assistant", said)], stored.schema
+    )
+    turns = stored.union(probe).withColumn("parts", chat.text_part(F.col("text")))
+    out = chat.format_chats(turns).withColumns(
+        {
+            "turns": chat.read_back(F.col("formatted")),
+            "learned": chat.under_loss(F.col("formatted"), F.col("loss")),
+        }
+    )
+    line = F.lit("\n")
+    told = F.array_join(
+        F.transform("turns", lambda t: F.concat(t["role"], line, t["text"], line)), ""
+    )
+    return out.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(told, 256).alias("turns_sha256"),
+        F.length("learned").cast("long").alias("loss_chars"),
+        F.sha2("learned", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+        F.size("attachments").cast("long").alias("n_attachments"),
+        "expanded_tokens",
+    )
+
+
 @register("op6_mixing")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
