@@ -8,7 +8,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillspark.llm import chat, mixing, pieces, pii, quality, sharding, simhash
+from tillspark.llm import chat, licenses, mixing, pieces, pii, quality, sharding, simhash
 from tillspark.llm.scratch import table, text_of, word_count
 
 # Python workers need not have the package installed: its functions travel with the task.
@@ -106,6 +106,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register("op7_licenses", licenses.scan_sql())
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 @register("op8_sentencepiece")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, known = table(spark, sf_dir, "documents"), vocabulary()
