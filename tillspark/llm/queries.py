@@ -8,11 +8,11 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillspark.llm import chat, licenses, mixing, pieces, pii, quality, sharding, simhash
+from tillspark.llm import chat, lattice, licenses, mixing, pieces, pii, quality, sharding, simhash
 from tillspark.llm.scratch import table, text_of, word_count
 
 # Python workers need not have the package installed: its functions travel with the task.
-for _module in (pieces, quality, simhash):
+for _module in (lattice, pieces, quality, simhash):
     cloudpickle.register_pickle_by_value(_module)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,6 +55,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register("op3_lattice")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 @register("op4_quality")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
