@@ -8,11 +8,11 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillspark.llm import chat, lattice, licenses, mixing, pieces, pii, quality, sharding, simhash
+from tillspark.llm import chat, lattice, licenses, mixing, pieces, pii, quality, sharding, simhash, toxicity
 from tillspark.llm.scratch import table, text_of, word_count
 
 # Python workers need not have the package installed: its functions travel with the task.
-for _module in (lattice, pieces, quality, simhash):
+for _module in (lattice, pieces, quality, simhash, toxicity):
     cloudpickle.register_pickle_by_value(_module)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +40,17 @@ def vocabulary() -> pieces.Vocabulary:
     return pieces.Vocabulary.load(public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@register("op1_toxicity")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit_on(docs, table(spark, sf_dir, "labels"))
+    return (
+        docs.select("doc_id", toxicity.scored(spark, docs["text"], model).alias("_t"))
+        .select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "_t.*")
+        .withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+    )
+
+
 @register("op2_pii")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -153,3 +164,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("_slot").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@register("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
