@@ -46,11 +46,13 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mixing: each document as often as its rounded rate says; sources meet their targets."""
+    """Mixing: each document as often as its rounded rate says; sources meet their targets.
+
+    Rows which share an id are all taken as often as the most taken one.
+    """
     sized = docs.select("doc_id", "source", word_count(text_of(docs)).alias("size"))
-    copies = mixing.mix(sized).where("copies > 0").select(
-        F.col("doc_id").alias("_id"), F.col("copies").cast("int").alias("_copies")
-    )
+    mixed = mixing.mix(sized).groupBy("doc_id").agg(F.max("copies").cast("int").alias("_copies"))
+    copies = mixed.where("_copies > 0").withColumnRenamed("doc_id", "_id")
     joined = docs.join(copies, docs["doc_id"].eqNullSafe(copies["_id"]))
     return joined.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(
         docs.columns

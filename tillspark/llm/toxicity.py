@@ -424,8 +424,8 @@ def fit_on(
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "toxic",
-    toxic_texts: int = 500,
-    other_texts: int = 900,
+    toxic_texts: int = 800,
+    other_texts: int = 1400,
     characters: int = 20_000,
 ) -> ToxicModel:
     """Fit on a bounded sample of labelled texts that are not held out, chosen by a hash of the id.
