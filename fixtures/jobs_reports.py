@@ -535,18 +535,21 @@ def _(m):
 @register(
     "cohort_matrix",
     over(
-        "SELECT cohort, "
-        + ", ".join(
-            f"""MAX(CASE WHEN months_since_first = {k} THEN observed_retention END) AS "{k}" """
-            for k in range(79)
-        )
-        + "FROM cells GROUP BY cohort",
+        """SELECT cohort, months_since_first, observed_retention
+           FROM (SELECT DISTINCT cohort FROM cells)
+           CROSS JOIN (SELECT CAST(UNNEST(RANGE(0, (SELECT MAX(months_since_first) + 1 FROM cells)))
+                         AS INTEGER) AS months_since_first)
+           LEFT JOIN (SELECT cohort, CAST(months_since_first AS INTEGER) AS months_since_first,
+                        observed_retention FROM cells) USING (cohort, months_since_first)""",
         **COHORT_PARTS,
         cells=QUESTIONS["cohorts"],
     ),
 )
 def _(m):
-    return eda.cohort_matrix(questions.cohorts(star_of(m)), range(79))
+    wide = eda.cohort_matrix(questions.cohorts(star_of(m)))
+    months = [c for c in wide.columns if c != "cohort"]
+    long = wide.unpivot("cohort", months, "months_since_first", "observed_retention")
+    return long.withColumn("months_since_first", F.col("months_since_first").cast("int"))
 
 
 @register(

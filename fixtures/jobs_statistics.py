@@ -112,11 +112,6 @@ def _(m):
     return resampling.block_bootstrap_mean(drop_last_day(m["daily"]))
 
 
-@register("normality_diagnostics")
-def _(m):
-    return stats.normality(_groups(m), "average_order", "customer_id")
-
-
 @register("statistics_report")
 def _(m):
     return stats.statistics_report(m["customers"], m["daily"], CONTRAST_COUNTRY)

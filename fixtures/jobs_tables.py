@@ -9,7 +9,6 @@ from fixtures.registry import plain, register, star_of
 from fixtures.retail_lines import SCHEMA
 from tillspark.operators import checks, cleaning, star, transform
 
-NATIONS = [f"NATION_{i}" for i in range(25)]
 
 ISO = "STRFTIME({0}, '%Y-%m-%d') AS {0}"
 MOMENT = "STRFTIME({0}, '%Y-%m-%d %H:%M:%S') AS {0}"
@@ -278,19 +277,25 @@ def _(m):
     return checks.calendar_gaps(m["lines"].select("country", "date").distinct(), ["country"])
 
 
-_cell = f"COALESCE({total('CASE WHEN country = {0} THEN gross_sales END')}, 0)"
+def _wide(m):
+    return transform.monthly_country_wide(m["lines"], transform.country_names(m["dim_country"]))
 
 
 @register(
     "monthly_country_wide",
     over(
-        "SELECT month, "
-        + ", ".join(f"""{_cell.replace('{0}', f"'{n}'")} AS "{n}" """ for n in NATIONS)
-        + "FROM lines GROUP BY month"
+        f"""SELECT month, (SELECT COUNT(*) FROM dim_country) AS countries,
+              {total('gross_sales')} AS all_countries
+            FROM lines GROUP BY month"""
     ),
 )
 def _(m):
-    return transform.monthly_country_wide(m["lines"], NATIONS)
+    wide = _wide(m)
+    cells = [c for c in wide.columns if c != "month"]
+    in_all = sum((F.col(f"`{c}`").cast("decimal(38,4)") for c in cells), F.lit(0).cast("decimal(38,4)"))
+    return wide.select(
+        "month", F.lit(len(cells)).cast("long").alias("countries"), in_all.cast("double").alias("all_countries")
+    )
 
 
 @register(
@@ -303,7 +308,7 @@ def _(m):
     ),
 )
 def _(m):
-    return transform.monthly_country_long(transform.monthly_country_wide(m["lines"], NATIONS))
+    return transform.monthly_country_long(_wide(m))
 
 
 @register("dim_product", over("SELECT * FROM dim_product"))
@@ -422,6 +427,8 @@ _PAIRS = (
             f"SELECT '{t}' AS \"table\", '{n}' AS \"constraint\", {_count(c)} AS violations FROM {t}"
             for t, n, c in _PAIRS
         )
+        + " UNION ALL SELECT 'dim_country', 'country unique', COUNT(country) - COUNT(DISTINCT country)"
+        " FROM dim_country"
     ),
 )
 def _(m):

@@ -85,22 +85,18 @@ SELECT CONCAT(source_sheet, ':', src_key, ':', CAST(copy AS STRING)) AS line_id,
 def numbered_lines(lineitem: DataFrame) -> DataFrame:
     """Lines with a number among identical copies; copies are counted, then spread again."""
     counted = lineitem.groupBy(*LINE).agg(F.count(F.lit(1)).alias("n"))
-    few = counted.where(F.col("n") <= COPIES_PER_CHUNK).select(
-        *LINE, F.explode(F.sequence(F.lit(1).cast("bigint"), "n")).alias("rn")
-    )
-    chunks = counted.where(F.col("n") > COPIES_PER_CHUNK).select(
+    chunks = counted.select(
         *LINE,
         "n",
         F.explode(F.sequence(F.lit(1).cast("bigint"), "n", F.lit(COPIES_PER_CHUNK).cast("bigint")))
         .alias("start"),
     )
-    many = chunks.repartition(*LINE, "start").select(
+    return chunks.repartition(*LINE, "start").select(
         *LINE,
         F.explode(
             F.sequence("start", F.least("n", F.col("start") + (COPIES_PER_CHUNK - 1)))
         ).alias("rn"),
     )
-    return few.unionByName(many)
 
 
 def source_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

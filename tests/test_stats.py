@@ -58,18 +58,6 @@ def test_holm(spark):
     assert got == pytest.approx([0.03, 0.06, 0.06])
 
 
-def test_shapiro_published_example(spark):
-    x = np.array([148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236.0])
-    w, p = stats.shapiro_wilk_values(x)
-    assert w == pytest.approx(0.7888, abs=1e-4) and p == pytest.approx(0.0067, abs=1e-4)
-
-
-def test_normality_runs_per_side(groups):
-    rows = stats.normality(groups, "average_order", "customer_id", n=50).collect()
-    assert sorted(r["n_sample"] for r in rows) == [50, 50]
-    assert all(0 < r["shapiro_w"] <= 1 and 0 <= r["shapiro_p"] <= 1 for r in rows)
-
-
 def test_bootstrap_interval_properties(groups):
     one, two = (
         as_dict(

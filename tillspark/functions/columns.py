@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 MONEY = "decimal(18,4)"
 
 
+def known(column: Column) -> Column:
+    """A number as double, with NaN as NULL: both stand for a missing value."""
+    return F.nanvl(column.cast("double"), F.lit(None).cast("double"))
+
+
 def clean_text(c: Column) -> Column:
     """Collapse any Unicode whitespace to one blank, then strip."""
     return F.trim(F.regexp_replace(c.cast("string"), r"(?U)\s+", " "))

@@ -267,11 +267,15 @@ def sampled_pairs(positive: DataFrame, n: int = 600, seed: int = 42) -> DataFram
     return sample.select("group_key", *[F.log1p(c).alias(f"log1p_{c}") for c in INVOICE_MEASURES])
 
 
-def cohort_matrix(cohorts: DataFrame, months: Sequence[int]) -> DataFrame:
-    """Retention by cohort and months since first purchase; unobserved cells stay NULL."""
+def cohort_matrix(cohorts: DataFrame) -> DataFrame:
+    """Retention by cohort and months since first purchase; unobserved cells stay NULL.
+
+    One column for every offset from 0 to the greatest one found.
+    """
+    last = cohorts.agg(F.max("months_since_first")).first()[0]
     return (
         cohorts.groupBy("cohort")
-        .pivot("months_since_first", list(months))
+        .pivot("months_since_first", list(range((-1 if last is None else last) + 1)))
         .agg(F.first("observed_retention"))
     )
 

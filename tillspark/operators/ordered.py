@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from tillspark.functions.columns import known
+
 _scratch: ContextVar[list[DataFrame] | None] = ContextVar("scratch", default=None)
 
 
@@ -46,8 +48,9 @@ def scratch() -> Iterator[None]:
         _scratch.reset(token)
 
 
+#: The number of buckets follows the rows; a table of any size has at least LEAST_BUCKETS.
 ROWS_PER_BUCKET = 1_000_000
-MAX_BUCKETS = 8192
+LEAST_BUCKETS = 4
 SAMPLE_PER_BUCKET = 16
 
 
@@ -59,7 +62,7 @@ def _bucket_limits(df: DataFrame, key: Column, rows: int, buckets: int) -> Colum
     limits = picked.agg(F.sort_array(F.collect_list("k")).alias("s")).select(
         F.filter("s", lambda _, i: (i > 0) & (i % step == 0)).alias("limits")
     )
-    # One row of at most a few times MAX_BUCKETS keys.
+    # One row with about one key per bucket.
     text = limits.select(F.to_json("limits")).first()[0]
     return F.from_json(F.lit(text), T.ArrayType(picked.schema["k"].dataType))
 
@@ -92,19 +95,13 @@ def running_totals(
     `df` is evaluated more than once; pass something already aggregated, persisted or written.
     """
     rows = df.count()
-    buckets = min(MAX_BUCKETS, math.ceil(rows / rows_per_bucket))
+    buckets = max(LEAST_BUCKETS, math.ceil(rows / rows_per_bucket))
     named = df.withColumn("_k", F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)]))
     for name, weight in totals.items():
         named = named.withColumn(f"_w_{name}", weight)
     by = list(by)
-    if buckets <= 1:  # small enough for one task, checked by the count above
-        w = W.partitionBy(*by).orderBy("_k").rowsBetween(W.unboundedPreceding, W.currentRow)
-        for name in totals:
-            named = named.withColumn(name, F.sum(f"_w_{name}").over(w))
-        return named.drop("_k", *[f"_w_{n}" for n in totals])
-
     limits = _bucket_limits(named, F.col("_k"), rows, buckets)
-    depth = math.ceil(math.log2(4 * MAX_BUCKETS))
+    depth = math.ceil(math.log2(SAMPLE_PER_BUCKET * buckets)) + 1
     placed = named.withColumn("_b", _bucket_of(F.col("_k"), limits, depth))
     sizes = placed.groupBy(*by, "_b").agg(*[F.sum(f"_w_{n}").alias(f"_t_{n}") for n in totals])
     before = W.partitionBy(*by).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
@@ -165,11 +162,13 @@ def value_ranks(
 ) -> DataFrame:
     """One row per distinct value: how often it occurs and the average rank it shares.
 
-    `counts` adds further conditional counts per value (NULLs in `column` are left out).
+    `counts` adds further conditional counts per value (NULL and NaN in `column` are left out).
     """
     extra = {name: F.sum(c.cast("bigint")).alias(name) for name, c in (counts or {}).items()}
+    real = isinstance(df.schema[column].dataType, (T.DoubleType, T.FloatType))
+    present = F.col(column).isNotNull() & (~F.isnan(column) if real else F.lit(True))
     per_value = keep(
-        df.where(F.col(column).isNotNull())
+        df.where(present)
         .groupBy(*by, column)
         .agg(F.count(F.lit(1)).alias("n"), *extra.values())
     )
@@ -197,7 +196,7 @@ def exact_quantiles(
         F.explode(
             F.array(
                 *[
-                    F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("_v"))
+                    F.struct(F.lit(c).alias("column"), known(F.col(c)).alias("_v"))
                     for c in columns
                 ]
             )

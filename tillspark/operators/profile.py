@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from tillspark.functions.columns import count_if, sample_kurtosis, sample_skewness
+from tillspark.functions.columns import count_if, known, sample_kurtosis, sample_skewness
 from tillspark.operators.ordered import ROWS_PER_BUCKET, exact_quantiles, keep, wide_quantiles
 
 
@@ -98,10 +98,10 @@ def describe(
 
 
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson matrix as (a, b, r); pairs with a NULL are left out, as in pairwise deletion."""
+    """Pearson matrix as (a, b, r); pairs with a NULL or NaN are left out, as in pairwise deletion."""
     cells = []
     for a, b in combinations_with_replacement(columns, 2):
-        r = F.corr(F.col(f"`{a}`").cast("double"), F.col(f"`{b}`").cast("double"))
+        r = F.corr(known(F.col(f"`{a}`")), known(F.col(f"`{b}`")))
         cells.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), r.alias("r")))
     upper = df.agg(F.array(*cells).alias("m")).select(F.inline("m"))
     return upper.unionByName(

@@ -81,6 +81,11 @@ def daily_series(lines: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def country_names(dim_country: DataFrame) -> list[str]:
+    """All names, in order; as many as a matrix has columns."""
+    return [r["country"] for r in dim_country.select("country").orderBy("country").collect()]
+
+
 def monthly_country_wide(lines: DataFrame, countries: Sequence[str]) -> DataFrame:
     """Month by country matrix of gross sales, 0 where nothing was sold.
 
