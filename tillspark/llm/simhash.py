@@ -82,7 +82,7 @@ def _segments(bits: int, segments: int, radius: int) -> list[tuple[int, int, lis
 def hamming_links(prints: DataFrame, column: str, radius: int = 3, segments: int = 2) -> DataFrame:
     """(a, b): all pairs of different values of `column` at most `radius` bits apart.
 
-    `prints` holds distinct values. A pair whose segments differ by a mask is found from the side
+    `prints` holds distinct values; `segments` is at least 2. A pair whose segments differ by a mask is found from the side
     which has a zero at the mask's lowest bit, so each segment finds it once.
     """
     def probes(number: int, part: Column, masks: list[int]) -> Column:

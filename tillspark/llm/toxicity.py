@@ -37,6 +37,8 @@ LETTER_ROWS = 256
 KEPT_TOKENS, WINDOWS_AT_ONCE = 150_000, 2048
 #: Standard deviations by which a word or letter group stands out in toxic texts at the start.
 STANDS_OUT = 8.0
+#: Steps of a training round, however few examples there are.
+LEAST_STEPS = 60
 
 
 def tokens_of(text: str) -> list[str]:
@@ -310,8 +312,9 @@ def fit(
         if not len(good):
             break
         chosen = np.concatenate((good, bad))
-        for _ in range(epochs):
-            for part in np.array_split(rng.permutation(chosen), max(1, len(chosen) // batch)):
+        parts = max(1, len(chosen) // batch)
+        for _ in range(max(epochs, -(-LEAST_STEPS // parts))):
+            for part in np.array_split(rng.permutation(chosen), parts):
                 used, where = np.unique(at[:, part], return_inverse=True)
                 _, g = model.slopes(
                     [known[i] for i in used], where.reshape(WINDOW, -1), inside[:, part],
