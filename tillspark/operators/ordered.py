@@ -172,12 +172,32 @@ def value_ranks(
         .groupBy(*by, column)
         .agg(F.count(F.lit(1)).alias("n"), *extra.values())
     )
+    return _ranked(per_value, column, by, rows_per_bucket)
+
+
+def _ranked(
+    per_value: DataFrame, column: str, by: Sequence[str], rows_per_bucket: int
+) -> DataFrame:
     run = running_totals(
         per_value, [F.col(column)], {"upto": F.col("n")}, by, rows_per_bucket
     )
     return run.withColumn("average_rank", F.col("upto") - F.col("n") + (F.col("n") + 1) / 2)
 
 
+def count_values(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Distinct values of columns and how often they occur: (by..., column, _v, n).
+
+    Repeated values shrink on the map side; NULL and NaN are left out.
+    """
+    cells = [
+        F.struct(F.lit(c).alias("column"), known(F.col(c)).alias("_v")) for c in columns
+    ]
+    long = df.select(*by, F.inline(F.array(*cells)))
+    return long.where("_v IS NOT NULL").groupBy(*by, "column", "_v").agg(
+        F.count(F.lit(1)).alias("n")
+    )
+
+
 def exact_quantiles(
     df: DataFrame,
     columns: Sequence[str],
@@ -190,19 +210,18 @@ def exact_quantiles(
     Values are counted before they are ordered, so repeated values shrink on the map side and
     no single task holds the values of a column.
     """
+    return counted_quantiles(count_values(df, columns, by), probabilities, by, rows_per_bucket)
+
+
+def counted_quantiles(
+    counted: DataFrame,
+    probabilities: Sequence[float],
+    by: Sequence[str] = (),
+    rows_per_bucket: int = ROWS_PER_BUCKET,
+) -> DataFrame:
+    """The same quantiles from values which `count_values` has counted."""
     by = list(by)
-    long = df.select(
-        *by,
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(c).alias("column"), known(F.col(c)).alias("_v"))
-                    for c in columns
-                ]
-            )
-        ).alias("_e"),
-    ).select(*by, "_e.column", "_e._v")
-    ranked = value_ranks(long, "_v", [*by, "column"], rows_per_bucket=rows_per_bucket)
+    ranked = _ranked(keep(counted), "_v", [*by, "column"], rows_per_bucket)
     sizes = ranked.groupBy(*by, "column").agg(F.sum("n").alias("_size"))
     sized = ranked.select(*by, "column", "_v", "n", "upto").join(
         sizes.select(*[F.col(c).alias(f"_s_{c}") for c in [*by, "column"]], "_size"),

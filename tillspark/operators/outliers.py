@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillspark.functions.columns import count_if, is_nonfinite, number
-from tillspark.operators.ordered import ROWS_PER_BUCKET, exact_quantiles, keep, wide_quantiles
+from tillspark.operators.ordered import ROWS_PER_BUCKET, count_values, counted_quantiles, keep, wide_quantiles
 
 # Rule parameters.
 IQR_FACTOR = 1.5
@@ -31,8 +31,9 @@ def limits(
     by = list(by)
     values = df.select(*by, *[number(F.col(c)).alias(c) for c in columns])
     names = {0.01: "p01", 0.25: "q1", 0.5: "median", 0.75: "q3", 0.99: "p99"}
+    counted = keep(count_values(values, columns, by))
     marks = wide_quantiles(
-        exact_quantiles(values, columns, list(names), by, rows_per_bucket), names, by
+        counted_quantiles(counted, list(names), by, rows_per_bucket), names, by
     )
     spread = (
         values.groupBy(*by)
@@ -49,12 +50,20 @@ def limits(
         .select(*by, F.inline("s"))
     )
     both = keep(marks.join(spread, [*by, "column"]))  # one row per column and key
-    medians = _wide(both.select(*by, "column", "median"), columns, ["median"], by)
-    deviations = attach(values, medians, by).select(
-        *by, *[F.abs(F.col(c) - F.col(f"_limits.{c}.median")).alias(c) for c in columns]
+    # Deviations come from the counted values; the lines are not read again.
+    median = both.select(
+        *[F.col(c).alias(f"_r_{c}") for c in [*by, "column"]], F.col("median").alias("_median")
+    )
+    same = F.lit(True)
+    for c in [*by, "column"]:
+        same = same & F.col(c).eqNullSafe(F.col(f"_r_{c}"))
+    deviations = (
+        counted.join(median, same)
+        .groupBy(*by, "column", F.abs(F.col("_v") - F.col("_median")).alias("_v"))
+        .agg(F.sum("n").alias("n"))
     )
     mads = wide_quantiles(
-        exact_quantiles(deviations, columns, [0.5], by, rows_per_bucket), {0.5: "mad"}, by
+        counted_quantiles(deviations, [0.5], by, rows_per_bucket), {0.5: "mad"}, by
     )
     stats = ["q1", "q3", "p01", "p99", "median", "mad", "mean", "sd"]
     return _wide(both.join(mads, [*by, "column"]), columns, stats, by)
