@@ -12,7 +12,7 @@ table; see `measured_recall` for the share found.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -108,14 +108,28 @@ def _cell_column(unit: Column, lattice: Lattice) -> Column:
     return of(unit)
 
 
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value which is computed once; inside a lambda a plain one would be for each item."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def unit_vector(vector: Column) -> Column:
     """The vector at length 1 in double precision; null if it has no direction."""
-    x = F.transform(vector, lambda v: v.cast("double"))
-    sound = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    most = F.array_max(F.transform(x, lambda v: F.abs(v)))
-    scaled = F.transform(x, lambda v: v / most)
-    norm = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda a, v: a + v * v))
-    return F.when(sound & (F.size(x) > 0) & (most > 0), F.transform(scaled, lambda v: v / norm))
+    sound = F.forall(
+        vector, lambda v: v.isNotNull() & ~F.isnan(v.cast("double")) & (F.abs(v) < float("inf"))
+    )
+    squares = lambda x: F.aggregate(x, F.lit(0.0), lambda a, v: a + v * v)
+
+    def scaled(x: Column) -> Column:
+        most = F.array_max(F.transform(x, lambda v: F.abs(v)))
+        return _with(most, lambda m: F.when(m > 0, F.transform(x, lambda v: v / m)))
+
+    def at_length_one(x: Column) -> Column:
+        return _with(F.sqrt(squares(x)), lambda n: F.transform(x, lambda v: v / n))
+
+    doubles = F.transform(vector, lambda v: v.cast("double"))
+    unit = _with(doubles, lambda x: _with(scaled(x), at_length_one))
+    return F.when(sound & (F.size(vector) > 0), unit)
 
 
 def _cosine(a: Column, b: Column) -> Column:
