@@ -28,9 +28,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     groups = simhash.near_duplicates(docs)
     first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     chosen = keep(first.groupBy("doc_id").agg(F.count("*").alias("_rows")), "chosen")
-    joined = docs.join(
-        chosen.withColumnRenamed("doc_id", "_id"), docs["doc_id"].eqNullSafe(F.col("_id"))
-    )
+    # One plan for every size: the ids grow with the documents, so they are never broadcast.
+    ids = chosen.withColumnRenamed("doc_id", "_id").hint("merge")
+    joined = docs.join(ids, docs["doc_id"].eqNullSafe(F.col("_id")))
     once = joined.where("_rows = 1 OR _id IS NULL").select(docs.columns)
     repeated = joined.where("_rows > 1 AND _id IS NOT NULL").select(docs.columns)
     return once.union(repeated.dropDuplicates(["doc_id"]))
@@ -53,7 +53,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     sized = docs.select("doc_id", "source", word_count(text_of(docs)).alias("size"))
     mixed = mixing.mix(sized).groupBy("doc_id").agg(F.max("copies").cast("int").alias("_copies"))
     copies = mixed.where("_copies > 0").withColumnRenamed("doc_id", "_id")
-    joined = docs.join(copies, docs["doc_id"].eqNullSafe(copies["_id"]))
+    joined = docs.join(copies.hint("merge"), docs["doc_id"].eqNullSafe(F.col("_id")))
     return joined.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(
         docs.columns
     )
