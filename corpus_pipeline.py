@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tillspark.llm import mixing, pieces, pii, quality, simhash
 from tillspark.llm.queries import vocabulary
-from tillspark.llm.scratch import keep, table, text_of, word_count
+from tillspark.llm.scratch import keep, row_key, table, text_of, word_count
 
 
 def keep_good_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,20 +20,20 @@ def keep_good_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return quality.assess(docs, model).where("_quality.kept").select(docs.columns)
 
 
+def _chosen_rows(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Rows of docs with a key in the written table `chosen` (_key, _rows, ...); equal rows once."""
+    # One plan for every size: the keys grow with the documents, so they are never broadcast.
+    joined = docs.withColumn("_key", row_key(docs)).join(chosen.hint("merge"), "_key")
+    return joined.where("_rows = 1").union(joined.where("_rows > 1").dropDuplicates(["_key"]))
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SimHash near-dedup: of each group, the document with the smallest id stays, in one row.
+    """SimHash near-dedup: of each group one row stays, that with the smallest id; null ids come last.
 
-    Rows without id are kept if no document with an id is in their group.
+    Rows of different groups which share an id, or have none, stay in one row for each group.
     """
-    groups = simhash.near_duplicates(docs)
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    chosen = keep(first.groupBy("doc_id").agg(F.count("*").alias("_rows")), "chosen")
-    # One plan for every size: the ids grow with the documents, so they are never broadcast.
-    ids = chosen.withColumnRenamed("doc_id", "_id").hint("merge")
-    joined = docs.join(ids, docs["doc_id"].eqNullSafe(F.col("_id")))
-    once = joined.where("_rows = 1 OR _id IS NULL").select(docs.columns)
-    repeated = joined.where("_rows > 1 AND _id IS NOT NULL").select(docs.columns)
-    return once.union(repeated.dropDuplicates(["doc_id"]))
+    chosen = keep(simhash.representatives(docs), "chosen")
+    return _chosen_rows(docs, chosen).select(docs.columns)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,13 +48,14 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixing: each document as often as its rounded rate says; sources meet their targets.
 
-    Rows which share an id are all taken as often as the most taken one.
+    Rows are told apart by all their columns, so those which share an id have each their own copies.
     """
-    sized = docs.select("doc_id", "source", word_count(text_of(docs)).alias("size"))
-    mixed = mixing.mix(sized).groupBy("doc_id").agg(F.max("copies").cast("int").alias("_copies"))
-    copies = mixed.where("_copies > 0").withColumnRenamed("doc_id", "_id")
-    joined = docs.join(copies.hint("merge"), docs["doc_id"].eqNullSafe(F.col("_id")))
-    return joined.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(
+    sized = docs.select(row_key(docs).alias("doc_id"), "source", word_count(text_of(docs)).alias("size"))
+    mixed = mixing.mix(sized).groupBy(F.col("doc_id").alias("_key")).agg(
+        F.sum("copies").cast("int").alias("_copies"), F.count("*").alias("_rows")
+    )
+    taken = _chosen_rows(docs, keep(mixed.where("_copies > 0"), "copies"))
+    return taken.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(
         docs.columns
     )
 

@@ -226,6 +226,20 @@ def test_pipeline_drops_near_copies_and_personal_data(spark, docs_of, tmp_path):
     assert "<email>" in texts["text"] and texts["n_chars"] == len(texts["text"])
 
 
+def test_pipeline_keeps_one_row_of_every_group_and_mixes_rows_not_ids(spark, docs_of):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(80)) for x in ("ab", "lorem", "17x", "zeta"))
+    rows = [(1, a), (1, b), (2, a), (3, b), (None, c), (None, c), (None, a), (None, d), (None, d, "t")]
+    kept = corpus_pipeline.drop_near_copies(spark, docs_of([*rows, (1, b)]), "").collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == sorted([(1, a), (1, b), (0, c), (0, d)])
+    sized = [
+        (i, " ".join(f"w{i}{s}{j}" for j in range(n)), s) for s in "stu" for i in range(20) for n in (10, 30)
+    ]
+    for docs in (sized, [*sized[:-1], sized[-3]]):  # the second with two equal rows
+        mixed = corpus_pipeline.mix_sources(spark, docs_of(docs), "").collect()
+        for source, target in (("s", 400), ("t", 800), ("u", 1200)):
+            assert abs(sum(len(r["text"].split()) for r in mixed if r["source"] == source) - target) <= 10
+
+
 def test_every_operator_is_registered():
     names = {int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op")}
     assert names == set(range(1, 11)) and "pipeline" in queries.QUERIES

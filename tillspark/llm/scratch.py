@@ -25,6 +25,16 @@ def word_count(text):
     return F.regexp_count(text, F.lit(WORD)).cast("long")
 
 
+def row_key(df: DataFrame):
+    """128 bits of a digest over all columns of a row: equal only for rows equal in every column."""
+
+    def part(name: str):
+        value = F.col(f"`{name}`").cast("string")
+        return F.coalesce(F.concat(F.length(value).cast("string"), F.lit(":"), value), F.lit("-"))
+
+    return F.substring(F.sha2(F.concat(*[part(c) for c in df.columns]), 256), 1, 32)
+
+
 def keep(df: DataFrame, label: str) -> DataFrame:
     """Written to the shared folder and read back: cuts lineage, survives lost executors."""
     return materialize(df, new_folder(df.sparkSession, f"llm-{label}"))

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillspark.llm.components import components
-from tillspark.llm.scratch import keep, text_of
+from tillspark.llm.scratch import keep, row_key, text_of
 
 #: Fixed by the contract: seed of the shingle hash.
 SEED = 42
@@ -112,6 +112,42 @@ def hamming_links(prints: DataFrame, column: str, radius: int = 3, segments: int
     )
 
 
+def _named(distinct: DataFrame, radius: int, segments: int) -> DataFrame:
+    """Add `component`, the same value for linked fingerprints, to a table of distinct ones."""
+    groups = components(hamming_links(distinct.select("simhash"), "simhash", radius, segments))
+    return distinct.join(groups, distinct["simhash"] == groups["node"], "left").select(
+        "simhash", "least", F.coalesce("component", "simhash").alias("component")
+    )
+
+
+def representatives(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    radius: int = 3,
+    segments: int = 2,
+    words_per_shingle: int = 3,
+) -> DataFrame:
+    """(_key, _rows): one row of every group of near-duplicates, and how many rows equal it.
+
+    `_key` is `row_key` of the row with the smallest id, fingerprint and key of its group; null ids
+    come last. Ids need not be unique: rows which share one are told apart by their keys.
+    """
+    prints = keep(
+        docs.select(
+            docs[id_col].alias("doc_id"),
+            fingerprint_column(text_of(docs, text_col), words_per_shingle).alias("simhash"),
+            row_key(docs).alias("_key"),
+        ),
+        "simhash-rows",
+    )
+    counted = prints.groupBy("simhash", "doc_id", "_key").agg(F.count("*").alias("_rows"))
+    order = F.struct(F.isnull("doc_id").alias("_last"), "doc_id", "simhash", "_key", "_rows")
+    distinct = counted.groupBy("simhash").agg(F.min(order).alias("least"))
+    named = _named(distinct, radius, segments)
+    return named.groupBy("component").agg(F.min("least").alias("least")).select("least._key", "least._rows")
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -134,10 +170,7 @@ def near_duplicates(
         "simhash",
     )
     distinct = prints.groupBy("simhash").agg(F.min("doc_id").alias("least"))
-    groups = components(hamming_links(distinct.select("simhash"), "simhash", radius, segments))
-    named = distinct.join(groups, distinct["simhash"] == groups["node"], "left").select(
-        "simhash", "least", F.coalesce("component", "simhash").alias("component")
-    )
+    named = _named(distinct, radius, segments)
     first = named.groupBy("component").agg(F.min("least").alias("component_id"))
     of_print = named.join(first, "component").select("simhash", "component_id")
     return prints.join(of_print, "simhash").select("doc_id", "simhash", "component_id")
