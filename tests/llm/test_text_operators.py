@@ -190,6 +190,21 @@ def test_toxicity_gradient_and_learning(spark, docs_of, odd):
     assert {r["doc_id"]: r["t"]["windows"] for r in out}[2] == 0
 
 
+@pytest.mark.parametrize("toxic", [range(0, 160, 40), [3]])
+def test_toxicity_learns_from_few_toxic_texts(toxic):
+    rng = random.Random(11)
+    words = ["".join(rng.choice("aeioulmnrst") for _ in range(5)) for _ in range(60)]
+    texts = [[rng.choice(words) for _ in range(40)] for _ in range(200)]
+    for i in toxic:
+        texts[i][20] = "kzxqwvk"
+    labels = [int(i in toxic) for i in range(200)]
+    fitted = toxicity.fit([" ".join(t) for t in texts[:160]], labels[:160])
+    fresh = texts[160:]
+    clean = toxicity.Scorer(fitted)([" ".join(t) for t in fresh])[:, 0]
+    rude = toxicity.Scorer(fitted)([" ".join([*t[:9], "kzxqwvk", *t[10:]]) for t in fresh])[:, 0]
+    assert np.median(rude) > np.quantile(clean, 0.9)
+
+
 def test_all_words_lie_in_a_window():
     lengths = np.array([0, 1, 31, 32, 33, 56, 57, 200])
     at, inside, text = toxicity.windows_of(lengths)

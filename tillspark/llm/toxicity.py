@@ -6,7 +6,8 @@ its states, and a logistic unit scores the window. A text's score is that of its
 all windows of the whole text are scored.
 
 Training is weakly supervised: only texts are labelled. Windows of toxic texts which hold the
-strongest words and letter groups of the toxic side start as examples; later rounds take the
+strongest words and letter groups of the toxic side start as examples (if none stands out, the
+strongest window of every toxic text); later rounds take the
 windows which the network itself finds worst. Two numbers calibrate the worst window's logit.
 """
 
@@ -288,13 +289,18 @@ def fit(
     flat = np.array([row[t] for text in words for t in text], np.int64)
     at, inside, text = windows_of(np.array([len(t) for t in words]))
     at = flat[at]
-    # Every fourth text is left for the calibration.
+    # Every fourth text is left for the calibration, unless toxic texts with words are only there.
     spared = np.arange(len(y)) % 4 == 3
+    if not (y[text] * ~spared[text]).any():
+        spared[:] = False
     toxic = (y[text] == 1) & ~spared[text]
     guess = _first_guess([w for w, s in zip(words, spared, strict=True) if not s], y[~spared])
     strength = np.array([guess.get(t, 0.0) for t in known])
     worth = np.where(inside, strength[at], 0.0).max(axis=0)
     first = worth > STANDS_OUT
+    if not (toxic & first).any():  # rare insults or few texts: the strongest window of each text
+        order = np.lexsort((-worth, text))
+        first[order[np.unique(text[order], return_index=True)[1]]] = True
     speed = {k: np.zeros_like(v) for k, v in model.weights.items()}
     power = {k: np.zeros_like(v) for k, v in model.weights.items()}
     step = 0
@@ -332,7 +338,8 @@ def fit(
     worth = model.logits(model.input_sums(known), at, inside)
     worst = np.full(len(y), -20.0)
     np.maximum.at(worst, text, worth)
-    model.slope, model.shift = _calibrated(worst[spared], y[spared])
+    apart = spared if spared.any() else ~spared
+    model.slope, model.shift = _calibrated(worst[apart], y[apart])
     if toxic_share and 0 < toxic_share < 1:
         here = y.mean()
         model.shift += np.log(toxic_share / (1 - toxic_share)) - np.log(here / (1 - here))
