@@ -213,6 +213,13 @@ def test_all_words_lie_in_a_window():
     assert "".join(toxicity.tokens_of("x" * 50)) == "x" * 50
 
 
+def test_phrases_of_half_a_window_lie_whole_in_one():
+    at, inside, _ = toxicity.windows_of(np.array([200]))
+    held = [set(a[i].tolist()) for a, i in zip(at.T, inside.T, strict=True)]
+    for start in range(184):
+        assert any(set(range(start, start + 17)) <= h for h in held)
+
+
 def test_licenses_survive_spelling_case_and_copyright(docs_of, odd, empty):
     mit = dict(licenses.LICENSES[:1])["MIT"]
     changed = "Copyright (c) 2020 A. Person\n" + mit.upper().replace("LICENSE", "LICENCE").replace(",", " ,")

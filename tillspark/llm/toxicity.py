@@ -29,7 +29,8 @@ from tillspark.llm.scratch import text_of
 _WORDS = re.compile(r"\w+")
 #: Letters of a token; longer words are cut into several tokens, so no letter is lost.
 LETTERS = 16
-WINDOW, STRIDE = 32, 24
+#: Half a window, so that every phrase of up to 17 tokens lies whole in some window.
+WINDOW, STRIDE = 32, 16
 #: Word vectors are learned for at most so many words, each of them in several texts; all other
 #: words are read by their letters alone.
 WORD_ROWS, TEXTS_PER_WORD = 4096, 6
