@@ -229,3 +229,20 @@ def test_licenses_survive_spelling_case_and_copyright(docs_of, odd, empty):
     assert rows[1]["license"] == "MIT" and rows[2]["license"] is None
     assert rows[3]["notices"] == "MIT"
     assert licenses.scan(odd).count() == odd.count() and licenses.scan(empty).count() == 0
+
+
+def test_licenses_from_a_table(spark, docs_of):
+    header = (
+        'Licensed under the Apache License, Version 2.0 (the "License");\n'
+        "you may not use this file except in compliance with the License."
+    )
+    table = spark.createDataFrame(
+        [("Apache-2.0", header), ("GPL-3.0-only", "One\ntext."), ("GPL-3.0-or-later", "One text")],
+        "license string, text string",
+    )
+    docs = docs_of([(1, header.replace("\n", " ")), (2, "one text"), (3, "Prose.\nOne text\n"), (4, header + "\nx")])
+    rows = {r["doc_id"]: r for r in licenses.scan(docs, licenses=table).collect()}
+    assert len(rows) == 4 and [rows[i]["license"] for i in (1, 2, 3, 4)] == [
+        "Apache-2.0", "GPL-3.0-only,GPL-3.0-or-later", None, None
+    ]
+    assert rows[3]["notices"] == "GPL-3.0-only,GPL-3.0-or-later" and rows[4]["notices"] == ""

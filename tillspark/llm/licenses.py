@@ -3,7 +3,9 @@
 A text is brought to a canonical form (lower case, no punctuation, no copyright lines, one spelling
 of words which are spelt in several ways) and its digest is joined with the digests of known
 licences, brought to the same form. The whole text and each of its lines are looked up, so both a
-licence file and a notice inside a document are found.
+licence file and a notice of one line inside a document are found; a notice of several lines inside
+a document is not. LICENSES holds six short licences as whole texts and the others by a notice only;
+full texts and standard headers of more come as a table (license, text), see `scan`.
 """
 
 from __future__ import annotations
@@ -145,7 +147,10 @@ def _digest(canonical: Column) -> Column:
 
 def known_digests(spark: SparkSession, licenses=LICENSES) -> DataFrame:
     """(digest, license) of the known texts; one row for each of them."""
-    rows = spark.createDataFrame(list(licenses), "license string, text string")
+    if isinstance(licenses, DataFrame):
+        rows = licenses
+    else:
+        rows = spark.createDataFrame(list(licenses), "license string, text string")
     whole = _digest(F.array_join(canonical_lines(F.col("text")), " "))
     return rows.select(whole.alias("digest"), "license").distinct()
 
@@ -153,13 +158,22 @@ def known_digests(spark: SparkSession, licenses=LICENSES) -> DataFrame:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", licenses=LICENSES) -> DataFrame:
     """Per row: doc_id, digest of the whole canonical text, license, notices.
 
-    `license` is the known licence whose text the whole document is, else null. `notices` joins the
+    `licenses` holds pairs or is a table (license, text) of any size, such as the SPDX texts and
+    headers. `license` is the known licence whose text the whole document is, else null; names which
+    share a text are joined by commas. `notices` joins the
     sorted licences of all single lines which are known texts by commas (empty if there is none).
     Null and empty texts have the digest of the empty text and no licence. Rows with the same id
     share their findings; null ids find nothing by lines.
     """
     spark = docs.sparkSession
-    known = F.broadcast(known_digests(spark, licenses))  # as many rows as `licenses`
+    known = known_digests(spark, licenses)
+    if not isinstance(licenses, DataFrame):
+        known = F.broadcast(known)  # as many rows as `licenses`
+    named = known
+    if isinstance(licenses, DataFrame):  # several names may share a text
+        named = known.groupBy("digest").agg(
+            F.array_join(F.sort_array(F.collect_set("license")), ",").alias("license")
+        )
     lines = docs.select(docs[id_col].alias("doc_id"), canonical_lines(text_of(docs, text_col)).alias("lines"))
     whole = lines.select("doc_id", _digest(F.array_join("lines", " ")).alias("digest"))
     by_line = lines.select("doc_id", F.explode("lines").alias("line"))
@@ -170,7 +184,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", licens
         .agg(F.array_join(F.sort_array(F.collect_set("license")), ",").alias("notices"))
     )
     return (
-        whole.join(known, "digest", "left")
+        whole.join(named, "digest", "left")
         .join(hits, "doc_id", "left")
         .select("doc_id", "digest", "license", F.coalesce("notices", F.lit("")).alias("notices"))
     )
