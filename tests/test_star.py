@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from fixtures import registry
 from tests.data import FIRST, UK, as_dict, lines_of, source_rows
 from tillspark.operators import checks, metrics, star, transform
 from tillspark.plans import questions, views
@@ -104,3 +105,16 @@ def test_case_collisions_get_own_keys(spark):
     assert {r["product_id"]: r["product_key"] for r in star.product_keys(products).collect()} == {
         "7W": 1, "7w": 2, "8": 3,
     }
+
+
+def test_wide_months_show_every_cell(spark):
+    registry.queries()
+    lines = spark.createDataFrame(
+        [("2010-01", "A", 1.5), ("2010-01", "B", 2.0), ("2010-02", "B", 4.0)],
+        "month string, country string, gross_sales double",
+    )
+    wide = registry.JOBS["monthly_country_wide"](
+        {"lines": lines, "dim_country": lines.select("country").distinct()}
+    )
+    assert wide.columns == ["month", "A", "B"]
+    assert sorted(map(tuple, wide.collect())) == [("2010-01", 1.5, 2.0), ("2010-02", 0.0, 4.0)]
