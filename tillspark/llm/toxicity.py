@@ -7,8 +7,8 @@ all windows of the whole text are scored.
 
 Training is weakly supervised: only texts are labelled. Windows of toxic texts which hold the
 strongest words and letter groups of the toxic side start as examples (if none stands out, the
-strongest window of every toxic text); later rounds take the
-windows which the network itself finds worst. Two numbers calibrate the worst window's logit.
+strongest window of every toxic text); later rounds take the windows which the network itself finds
+worst. Two numbers calibrate the worst window's logit.
 """
 
 from __future__ import annotations
