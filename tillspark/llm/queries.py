@@ -8,11 +8,25 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillspark.llm import chat, lattice, licenses, mixing, pieces, pii, quality, sharding, simhash, toxicity
+from tillspark.llm import (
+    chat,
+    language,
+    lattice,
+    licenses,
+    mixing,
+    periodic,
+    pieces,
+    pii,
+    quality,
+    sharding,
+    simhash,
+    toxicity,
+    variants,
+)
 from tillspark.llm.scratch import table, text_of, word_count
 
 # Python workers need not have the package installed: its functions travel with the task.
-for _module in (lattice, pieces, quality, simhash, toxicity):
+for _module in (language, lattice, periodic, pieces, quality, simhash, toxicity, variants):
     cloudpickle.register_pickle_by_value(_module)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -166,6 +180,42 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register("op11_language")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.fit_on(docs)
+    return docs.select("doc_id", language.identified(spark, docs["text"], model).alias("_l")).select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "_l.*"
+    )
+
+
+@register("op12_variants")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return variants.group_variants(variants.counted_words(docs))
+
+
+@register("op13_periodic_runs")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic.with_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = docs.select("doc_id", periodic.collapsed_runs(F.col("text")).alias("_r")).select(
+        "doc_id", "_r.*", periodic.strongest(F.col("_r.runs")).alias("_best")
+    )
+    told = F.array_join(
+        F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n", None
+    )
+    told = F.when(F.size("runs") > 0, F.concat(told, F.lit("\n"))).otherwise("")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "_best.*",
+        F.expr("(1000 * _best.length) div _best.period").alias("exponent_milli"),
+        F.sha2(told, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+        "n_words",
+    )
+
+
 @register("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
