@@ -9,6 +9,8 @@ from fixtures.oracle import money, over, total
 from fixtures.registry import plain, register, rounded
 from tillspark.operators import checks, eda, features, forecast, metrics, profile
 from tillspark.schema import FEATURES
+from tillspark.sources.model_store import ModelStore
+from tillspark.sources.workspace import materialize
 
 #: Features whose distinct values both engines count alike (feature_unique_counts_exact); sine, cosine
 #: and deviations differ in their last bits.
@@ -321,68 +323,98 @@ def _(m):
     )
 
 
-def _selection(m):
-    train, validation, _test = _parts(m)
-    return m.once("selection", lambda: forecast.compare_candidates(train, validation, k=FOLDS, parallelism=8))
+SELECTED = ["selected", *forecast.BASELINES]
 
 
-def frozen_models(m):
+def model_run(m):
+    """Models fitted once for these rows and settings; later sessions open what is stored."""
     train, validation, _test = _parts(m)
-    return m.once("frozen", lambda: forecast.freeze(_selection(m), train, validation, k=FOLDS, parallelism=8))
+    return m.once(
+        "models",
+        lambda: forecast.stored_run(ModelStore(m.spark), train, validation, k=FOLDS, parallelism=8),
+    )
+
+
+def holdout(m):
+    """Evaluated predictions of the holdout days, written once."""
 
+    def write():
+        models = {name: model_run(m).model(name) for name in SELECTED}
+        return materialize(forecast.holdout_predictions(models, _parts(m)[2]), f"{m.folder}/holdout")
 
-def _holdout(m):
-    return forecast.holdout_predictions(frozen_models(m).models, _parts(m)[2])
+    return m.once("holdout", write)
 
 
 @register("candidate_comparison")
 def _(m):
-    return _selection(m).comparison
+    return model_run(m).table("comparison")
 
 
 @register("search_results")
 def _(m):
-    return frozen_models(m).search_results
+    return model_run(m).table("search_results")
 
 
 @register("tuning_summary")
 def _(m):
-    return frozen_models(m).summary
+    return model_run(m).table("summary")
+
+
+@register("model_manifest")
+def _(m):
+    return model_run(m).manifest_frame()
 
 
 @register("holdout_predictions")
 def _(m):
-    return _holdout(m)
+    return holdout(m)
 
 
 @register("holdout_metrics")
 def _(m):
-    return forecast.holdout_metrics(_holdout(m), list(frozen_models(m).models))
+    return forecast.holdout_metrics(holdout(m), SELECTED)
 
 
 @register("holdout_metrics_by_weekday")
 def _(m):
-    return forecast.regression_metrics(_holdout(m), "target", "selected", ["weekday"])
+    return forecast.regression_metrics(holdout(m), "target", "selected", ["weekday"])
 
 
 @register("residual_histogram")
 def _(m):
-    return eda.histogram(_holdout(m), "residual", 25)
+    return eda.histogram(holdout(m), "residual", 25)
 
 
 @register("residual_summary")
 def _(m):
-    return forecast.residual_summary(_holdout(m))
+    return forecast.residual_summary(holdout(m))
 
 
 @register("permutation_importance")
 def _(m):
-    return forecast.permutation_importance(frozen_models(m).models["selected"], _parts(m)[2])
+    return forecast.permutation_importance(model_run(m).model("selected"), _parts(m)[2])
 
 
 @register("batch_inference")
 def _(m):
-    return forecast.batch_inference(frozen_models(m).models["selected"], _future(m), user_supplied=False)
+    return forecast.batch_inference(model_run(m).model("selected"), _future(m), user_supplied=False)
+
+
+@register("prediction_manifest")
+def _(m):
+    return forecast.prediction_manifest(model_run(m), _future(m))
+
+
+@register("reloaded_model_scores", over("SELECT COUNT(*) AS rows, 0 AS different FROM split WHERE split = 'test'", **PARTS))
+def _(m):
+    """A stored model, loaded again, against one fitted anew: predictions which differ by a billionth."""
+    train, _validation, test = _parts(m)
+    stored = forecast.score(model_run(m).model("candidate_ridge"), test)
+    fresh = forecast.score(forecast.fit("ridge", train), test).select("date", F.col("prediction").alias("again"))
+    far = F.abs(F.col("prediction") - F.col("again")) > 1e-9 * F.greatest(F.lit(1.0), F.abs("again"))
+    return stored.join(fresh, "date").agg(
+        F.count("*").alias("rows"), F.coalesce(F.sum(far.cast("int")), F.lit(0)).cast("int").alias("different")
+    )
 
 
 @register("panel_ridge_holdout")
