@@ -242,5 +242,5 @@ def test_pipeline_keeps_one_row_of_every_group_and_mixes_rows_not_ids(spark, doc
 
 def test_every_operator_is_registered():
     names = {int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op")}
-    assert names == set(range(1, 11)) and "pipeline" in queries.QUERIES
+    assert names == set(range(1, 14)) and "pipeline" in queries.QUERIES
     assert 4 <= len(corpus_pipeline.STAGES) <= 5

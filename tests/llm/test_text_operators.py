@@ -84,6 +84,9 @@ def test_quality_counts_and_verdicts(spark, docs_of, odd, empty):
     model = quality.fit_line_model(docs, labels)
     kept = {r["doc_id"]: r["_quality"]["kept"] for r in quality.assess(docs, model).collect()}
     assert all(kept[i] for i in range(20)) and not any(kept[100 + i] for i in range(20))
+    mixed = quality.assess(docs_of([(1, clean), (2, clean + "\n" + junk), (3, junk + "\n" + junk + " x\n" + clean)]), model)
+    share = {r["doc_id"]: r["_quality"]["content_share"] for r in mixed.collect()}
+    assert share[1] == 1 and 0 < share[3] < 0.5 < share[2] < 1  # lines of one text differ
     nothing = quality.fit_line_model(docs, labels.where("false"))
     rows = {r["doc_id"]: r["_quality"] for r in quality.assess(odd, nothing).collect()}
     assert rows[2]["n_words"] == 0 and not rows[2]["kept"] and rows[8]["base_failed"]
@@ -113,17 +116,18 @@ def test_crf_viterbi_is_the_best_path_and_slope_is_right():
 
     best = max(product((0, 1), repeat=6), key=score)
     assert list(best) == model.labels(x)
-    data, inside, y = x[None], np.ones((1, 6), bool), np.array([1])
+    states = (0, 1, 1, 0, 1, 1)
+    data, inside, y = x[None], np.ones((1, 6), bool), np.array([states])
     at = np.concatenate((model.weights, model.transitions.ravel()))
 
     def loss(p):
         m = quality.LineModel(p[:size], p[size:].reshape(2, 2))
-        total = [
-            sum((x @ m.weights)[i] for i, s in enumerate(path) if s)
+        total = {
+            path: sum((x @ m.weights)[i] for i, s in enumerate(path) if s)
             + sum(m.transitions[a, b] for a, b in zip(path, path[1:], strict=False))
             for path in product((0, 1), repeat=6)
-        ]
-        return np.logaddexp.reduce(total) - total[-1]
+        }
+        return np.logaddexp.reduce(list(total.values())) - total[states]
 
     slope = quality._slope(at, data, inside, y, np.ones(1))
     step = np.eye(len(at)) * 1e-6

@@ -17,6 +17,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillspark.llm.scratch import blocks_of, bound, cut_out, sums_before
+
 #: Marks of the template and the opening of a placeholder: first character, rest.
 OPEN, SAID, CLOSE, HOLD = "<s>[INST]", "[/INST]", "</s>", "<|"
 _REST = r"(/?s>|/?INST\]|\|)"
@@ -57,7 +59,8 @@ def visit(parts: Column, template: Template) -> Column:
     """Struct (content, attachments, tokens) of the parts of one turn.
 
     The number of a placeholder counts from 0 within the turn. Parts of unknown kind, and null
-    parts, are written as empty text. A part of unknown length counts as one unit.
+    parts, are written as empty text. Neighbouring texts are escaped as the one text they make. A part
+    of unknown length counts as one unit.
     """
     costs = F.create_map(*[F.lit(x) for kv in template.tokens_per_unit.items() for x in kv])
 
@@ -66,8 +69,7 @@ def visit(parts: Column, template: Template) -> Column:
         return F.struct(
             F.coalesce(held, F.lit(False)).alias("held"),
             F.when(held, F.lit("")).otherwise(
-                F.when(part["kind"] == "text", escaped(F.coalesce(part["text"], F.lit(""))))
-                .otherwise("")
+                F.when(part["kind"] == "text", F.coalesce(part["text"], F.lit(""))).otherwise("")
             ).alias("text"),
             part["kind"].alias("kind"),
             part["ref"].alias("ref"),
@@ -79,13 +81,31 @@ def visit(parts: Column, template: Template) -> Column:
 
     seen = F.transform(F.coalesce(parts, F.array().cast(f"array<{PART}>")), of)
 
-    def numbered(part: Column, i: Column) -> Column:
-        number = F.size(F.filter(F.slice(seen, F.lit(1), i), lambda x: x["held"]))
-        hold = F.concat(F.lit(HOLD), part["kind"], F.lit("_"), number, F.lit("|>"))
-        return F.when(part["held"], hold).otherwise(part["text"])
+    def content(seen: Column) -> Column:
+        held = F.filter(seen, lambda p: p["held"])
+        # Places of the held parts, one before the first and one behind the last part.
+        places = F.filter(
+            F.transform(seen, lambda p, i: F.when(p["held"], i)), lambda i: i.isNotNull()
+        )
+        edges = F.concat(F.array(F.lit(-1)), places, F.array(F.size(seen)))
+        texts = F.transform(seen, lambda p: p["text"])
+
+        def stretch(cuts: Column, k: Column) -> Column:
+            first = F.get(cuts, k) + 2
+            # Neighbouring texts are one text: a control string must not hide in two of them.
+            own = F.array_join(F.slice(texts, first, F.get(cuts, k + 1) + 1 - first), "")
+            hold = F.concat(F.lit(HOLD), F.get(held["kind"], k), F.lit("_"), k, F.lit("|>"))
+            return F.concat(escaped(own), F.when(k < F.size(cuts) - 2, hold).otherwise(""))
+
+        return bound(
+            edges,
+            lambda cuts: F.array_join(
+                F.transform(F.sequence(F.lit(0), F.size(cuts) - 2), lambda k: stretch(cuts, k)), ""
+            ),
+        )
 
     return F.struct(
-        F.array_join(F.transform(seen, numbered), "").alias("content"),
+        bound(seen, content).alias("content"),
         F.transform(
             F.filter(seen, lambda p: p["held"]),
             lambda p, i: F.struct(
@@ -127,31 +147,24 @@ def format_chats(turns: DataFrame, template: Template | None = None) -> DataFram
         ),
     )
     tail = len(CLOSE)
-    spans = F.aggregate(
-        "pieces",
-        F.struct(
-            F.lit(0).cast("long").alias("at"),
-            F.array().cast("array<struct<start:bigint,end:bigint>>").alias("out"),
-        ),
-        lambda acc, p: F.struct(
-            (acc["at"] + F.length(p["head"]) + F.length(p["content"]) + tail).alias("at"),
-            F.when(
+
+    def masked(pieces: Column) -> Column:
+        long = lambda c: F.length(c).cast("long")
+        sizes = F.transform(pieces, lambda p: long(p["head"]) + long(p["content"]) + tail)
+        spans = F.zip_with(
+            pieces,
+            sums_before(sizes),
+            lambda p, at: F.when(
                 p["learned"],
-                F.concat(
-                    acc["out"],
-                    F.array(
-                        F.struct(
-                            (acc["at"] + F.length(p["head"])).alias("start"),
-                            (acc["at"] + F.length(p["head"]) + F.length(p["content"])).alias("end"),
-                        )
-                    ),
+                F.struct(
+                    (at + long(p["head"])).alias("start"),
+                    (at + long(p["head"]) + long(p["content"])).alias("end"),
                 ),
-            )
-            .otherwise(acc["out"])
-            .alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
+            ),
+        )
+        return F.filter(spans, lambda s: s.isNotNull())
+
+    spans = bound(F.col("pieces"), masked)
     return written.select(
         "conv_id",
         F.array_join(
@@ -190,14 +203,9 @@ def read_back(formatted: Column) -> Column:
 
 def under_loss(formatted: Column, loss: Column) -> Column:
     """All text under the loss mask, unescaped."""
-    return F.array_join(
-        F.transform(
-            loss,
-            lambda s: unescaped(
-                F.substring(
-                    formatted, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")
-                )
-            ),
+    return bound(
+        blocks_of(formatted),
+        lambda blocks: F.array_join(
+            F.transform(loss, lambda s: unescaped(cut_out(blocks, s["start"], s["end"]))), ""
         ),
-        "",
     )

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillspark.llm.scratch import text_of
+from tillspark.llm.scratch import keep, text_of
 
 # Texts of public licences and usual notices, by SPDX identifier.
 _GRANT = (
@@ -162,30 +162,57 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", licens
     headers. `license` is the known licence whose text the whole document is, else null; names which
     share a text are joined by commas. `notices` joins the
     sorted licences of all single lines which are known texts by commas (empty if there is none).
-    Null and empty texts have the digest of the empty text and no licence. Rows with the same id
-    share their findings; null ids find nothing by lines.
+    Null and empty texts have the digest of the empty text and no licence. Findings are those of each
+    row by itself, whatever its id: rows may share one or have none.
     """
     spark = docs.sparkSession
     known = known_digests(spark, licenses)
+    # Several names may share a text.
+    named = known.groupBy("digest").agg(
+        F.array_join(F.sort_array(F.collect_set("license")), ",").alias("license")
+    )
+    # Every row is read once: its whole text and each of its lines become digests to look up. Lines
+    # which are no known text fall out before anything is shuffled by row.
+    read = docs.select(
+        docs[id_col].alias("doc_id"), canonical_lines(text_of(docs, text_col)).alias("lines")
+    )
+    looked = read.select(
+        "doc_id",
+        _digest(F.array_join("lines", " ")).alias("digest"),
+        F.transform("lines", _digest).alias("lines"),
+    )
     if not isinstance(licenses, DataFrame):
-        known = F.broadcast(known)  # as many rows as `licenses`
-    named = known
-    if isinstance(licenses, DataFrame):  # several names may share a text
-        named = known.groupBy("digest").agg(
-            F.array_join(F.sort_array(F.collect_set("license")), ",").alias("license")
-        )
-    lines = docs.select(docs[id_col].alias("doc_id"), canonical_lines(text_of(docs, text_col)).alias("lines"))
-    whole = lines.select("doc_id", _digest(F.array_join("lines", " ")).alias("digest"))
-    by_line = lines.select("doc_id", F.explode("lines").alias("line"))
+        return _looked_up(looked, named)
+    return _joined(looked, known, named)
+
+
+def _looked_up(looked: DataFrame, named: DataFrame) -> DataFrame:
+    """Whole texts are joined by hash; lines look in a map of the same few digests, row by row."""
+    names = F.create_map(
+        *[x for r in named.collect() for x in (F.lit(r["digest"]), F.lit(r["license"]))]
+    )  # as many entries as the list of texts
+    hits = F.filter(
+        F.transform(F.array_distinct("lines"), lambda d: F.try_element_at(names, d)),
+        lambda n: n.isNotNull(),
+    )
+    each = F.array_sort(F.array_distinct(F.flatten(F.transform(hits, lambda n: F.split(n, ",")))))
+    return looked.join(F.broadcast(named), "digest", "left").select(
+        "doc_id", "digest", "license", F.array_join(each, ",").alias("notices")
+    )
+
+
+def _joined(looked: DataFrame, known: DataFrame, named: DataFrame) -> DataFrame:
+    """Findings by joins with a table of any size; rows are told apart by a number given to each."""
+    rows = keep(looked.withColumn("_row", F.expr("uuid()")), "license-digests")
+    by_line = rows.select("_row", F.explode(F.array_distinct("lines")).alias("digest"))
     hits = (
-        by_line.select("doc_id", _digest(F.col("line")).alias("digest"))
-        .join(known, "digest")
-        .groupBy("doc_id")
+        by_line.join(known, "digest")
+        .groupBy("_row")
         .agg(F.array_join(F.sort_array(F.collect_set("license")), ",").alias("notices"))
     )
     return (
-        whole.join(named, "digest", "left")
-        .join(hits, "doc_id", "left")
+        rows.join(named, "digest", "left")
+        .join(hits, "_row", "left")
         .select("doc_id", "digest", "license", F.coalesce("notices", F.lit("")).alias("notices"))
     )
 

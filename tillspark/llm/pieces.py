@@ -18,7 +18,7 @@ from __future__ import annotations
 import re
 import struct
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pandas as pd
@@ -97,6 +97,9 @@ class Vocabulary:
         if (kinds == USER_DEFINED).any():
             raise ValueError("Models with user-defined pieces cannot be read")
         known = {n: i for i, n in enumerate(names) if kinds[i] == NORMAL}
+        # Words are cut before every run of spaces, so no piece may reach over such a place.
+        if any(re.search(f"[^{SPACE}]{SPACE}", n) for n in known):
+            raise ValueError("Models with a space inside a piece cannot be read")
         order = {s: r for r, s in enumerate(sorted(set(scores), reverse=True))}
         symbol = dict(known)
         for name in known:
@@ -310,13 +313,18 @@ def _replace_one(error: UnicodeDecodeError) -> tuple[str, int]:
     return "�", error.start + 1
 
 
+def _plain(vocabulary: Vocabulary) -> dict:
+    """Plain values for a broadcast, which is read in workers that may not have the package."""
+    return {f.name: getattr(vocabulary, f.name) for f in fields(vocabulary)}
+
+
 def encoded(spark: SparkSession, text: Column, vocabulary: Vocabulary) -> Column:
     """Packed ids of a text column (null: like empty), begin and end ids included."""
-    shared = spark.sparkContext.broadcast(vocabulary)
+    shared = spark.sparkContext.broadcast(_plain(vocabulary))
 
     @F.pandas_udf("binary")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = Encoder(shared.value)
+        encoder = Encoder(Vocabulary(**shared.value))
         for texts in batches:
             yield pd.Series(encoder(texts.tolist()), dtype=object)
 
@@ -325,33 +333,35 @@ def encoded(spark: SparkSession, text: Column, vocabulary: Vocabulary) -> Column
 
 def decoded(spark: SparkSession, packed: Column, vocabulary: Vocabulary) -> Column:
     """Text of a column of packed ids (null: empty text)."""
-    shared = spark.sparkContext.broadcast(vocabulary)
+    shared = spark.sparkContext.broadcast(_plain(vocabulary))
 
     @F.pandas_udf("string")
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import codecs
 
         codecs.register_error("sp_replace", _replace_one)
+        known = Vocabulary(**shared.value)
         for ids in batches:
-            yield pd.Series([decode_ids(shared.value, i) for i in ids], dtype=object)
+            yield pd.Series([decode_ids(known, i) for i in ids], dtype=object)
 
     return decode(F.coalesce(packed, F.lit(b"")))
 
 
 def round_trip(spark: SparkSession, text: Column, vocabulary: Vocabulary) -> Column:
     """(ids, text): the packed ids of a text and what they decode to, in one pass of one worker."""
-    shared = spark.sparkContext.broadcast(vocabulary)
+    shared = spark.sparkContext.broadcast(_plain(vocabulary))
 
     @F.pandas_udf("ids binary, text string")
     def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         import codecs
 
         codecs.register_error("sp_replace", _replace_one)
-        encoder = Encoder(shared.value)
+        known = Vocabulary(**shared.value)
+        encoder = Encoder(known)
         for texts in batches:
             ids = encoder(texts.tolist())
             del texts
-            back = [decode_ids(shared.value, i) for i in ids]
+            back = [decode_ids(known, i) for i in ids]
             yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "text": back})
 
     return both(F.coalesce(text, F.lit("")))

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillspark.llm.scratch import text_of
+from tillspark.llm.scratch import blocks_of, bound, cut_out, sums_before, text_of
 
 
 @dataclass(frozen=True)
@@ -28,6 +28,8 @@ class Kind:
     score: float
     near: float
     context: str
+    #: Characters which a match has at least.
+    least: int
 
 
 #: Fixed by the contract: kinds, order, patterns and digit counts of the first four.
@@ -39,6 +41,7 @@ BASE = (
         0.9,
         0.1,
         "mail|contact|write|address",
+        5,
     ),
     Kind(
         "ip",
@@ -47,6 +50,7 @@ BASE = (
         0.6,
         0.3,
         r"\bip\b|server|host|address|login",
+        7,
     ),
     Kind(
         "card",
@@ -55,6 +59,7 @@ BASE = (
         0.7,
         0.3,
         "card|visa|master|credit|debit|payment",
+        2,
     ),
     Kind(
         "phone",
@@ -63,6 +68,7 @@ BASE = (
         0.6,
         0.3,
         r"phone|\btel\b|call|mobile|fax|whatsapp",
+        3,
     ),
 )
 MORE = (
@@ -73,6 +79,7 @@ MORE = (
         0.8,
         0.2,
         "iban|bank|account|konto|transfer",
+        12,
     ),
     Kind(
         "national_id",
@@ -81,6 +88,7 @@ MORE = (
         0.3,
         0.4,
         r"\bssn\b|social security|tax id",
+        11,
     ),
 )
 CONTEXT_CHARACTERS = 40
@@ -138,59 +146,68 @@ _SPAN = "struct<start:bigint,rank:int,end:bigint,kind:string,score:double>"
 
 def _spans(text: Column, kind: Kind, rank: int, least_score: float | None) -> Column:
     """Confirmed matches of one kind, in order, as array of structs."""
-    hits = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
-    gaps = F.split(text, kind.pattern, -1)
-    lengths = F.zip_with(
-        hits,
-        F.slice(gaps, F.lit(1), F.size(hits)),
-        lambda h, g: F.struct(F.length(h).alias("h"), F.length(g).alias("g")),
-    )
-    starts = F.aggregate(
-        lengths,
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["g"] + x["h"]).alias("at"),
-            F.concat(acc["out"], F.array(acc["at"] + x["g"])).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-
-    def span(hit: Column, start: Column) -> Column:
-        end = start + F.length(hit)
-        begin = F.greatest(start - CONTEXT_CHARACTERS, F.lit(0))
-        around = F.lower(
-            F.substring(
-                text, (begin + 1).cast("int"), (end + CONTEXT_CHARACTERS - begin).cast("int")
-            )
+    floor = 0.0 if least_score is None else least_score
+
+    def placed(p: Column) -> Column:
+        hits, gaps = p["hits"], p["gaps"]
+        before = F.slice(gaps, F.lit(1), F.size(hits))
+        steps = F.zip_with(hits, before, lambda h, g: (F.length(h) + F.length(g)).cast("long"))
+        starts = F.zip_with(sums_before(steps), before, lambda s, g: s + F.length(g))
+        # The text as gap, hit, gap, ...; of each piece only its ends can be near another hit.
+        pieces = F.concat(
+            F.flatten(F.zip_with(before, hits, lambda g, h: F.array(g, h))),
+            F.slice(gaps, F.size(gaps), F.lit(1)),
         )
+        ends = F.transform(pieces, lambda x: F.right(x, F.lit(CONTEXT_CHARACTERS)))
+        heads = F.transform(pieces, lambda x: F.left(x, F.lit(CONTEXT_CHARACTERS)))
+        return bound(
+            F.struct(starts.alias("starts"), ends.alias("ends"), heads.alias("heads")),
+            lambda near: F.filter(
+                F.transform(hits, lambda h, i: span(h, i, near)), lambda s: s["score"] >= floor
+            ),
+        )
+
+    def span(hit: Column, i: Column, near: Column) -> Column:
+        # So many hits, with their gaps, hold the characters on a side.
+        reach = 2 * -(-CONTEXT_CHARACTERS // kind.least)
+        own = 2 * i + 1
+        first = F.greatest(own - reach, F.lit(1))
+        before = F.right(F.array_join(F.slice(near["ends"], first, own + 1 - first), ""), F.lit(CONTEXT_CHARACTERS))
+        after = F.left(F.array_join(F.slice(near["heads"], own + 2, F.lit(reach)), ""), F.lit(CONTEXT_CHARACTERS))
+        around = F.lower(F.concat(before, hit, after))
         score = kind.score + F.when(around.rlike(kind.context), kind.near).otherwise(0.0)
+        start = F.get(near["starts"], i)
         return F.struct(
             start.alias("start"),
             F.lit(rank).alias("rank"),
-            end.alias("end"),
+            (start + F.length(hit)).alias("end"),
             F.lit(kind.name).alias("kind"),
             F.when(_confirmed(kind.name, hit), score).alias("score"),
         )
 
-    found = F.filter(
-        F.zip_with(hits, starts, span),
-        lambda s: s["score"] >= (0.0 if least_score is None else least_score),
+    parts = F.struct(
+        F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)).alias("hits"),
+        F.split(text, kind.pattern, -1).alias("gaps"),
     )
+    found = bound(parts, placed)
     hint = F.contains(text, F.lit("@")) if kind.hint == "@" else text.rlike(kind.hint)
     return F.when(hint, found).otherwise(F.array().cast(f"array<{_SPAN}>"))
 
 
-def find(docs: DataFrame, text_col: str = "text", least_score: float = 0.5) -> DataFrame:
-    """`docs` with the column `_spans`: array of (start, rank, end, kind, score), by start and kind.
+def find(
+    docs: DataFrame, text_col: str = "text", least_score: float = 0.5, out: str = "_spans"
+) -> DataFrame:
+    """`docs` with the column `out`: array of (start, rank, end, kind, score), by start and kind.
 
     Positions count code points from 0, ends are exclusive. Spans of one kind do not overlap, those
     of different kinds may. Null and empty texts have none. Rows are searched one by one, so ties,
-    repeated rows and other columns do not matter; whole texts are searched.
+    repeated rows and other columns do not matter; whole texts are searched. A column named `out` is
+    replaced.
     """
     text = text_of(docs, text_col)
     each = [_spans(text, k, i, None) for i, k in enumerate(BASE)]
     each += [_spans(text, k, len(BASE) + i, least_score) for i, k in enumerate(MORE)]
-    return docs.withColumn("_spans", F.array_sort(F.concat(*each)))
+    return docs.withColumn(out, F.array_sort(F.concat(*each)))
 
 
 def named(spans: Column) -> Column:
@@ -205,32 +222,63 @@ def base_only(spans: Column) -> Column:
 
 
 def redacted(text: Column, spans: Column) -> Column:
-    """`text` with each span replaced by its kind in angle brackets; overlapping spans are one."""
+    """`text` with each span replaced by its kind in angle brackets; overlapping spans are one.
+
+    The first span of an overlap names it. Spans are in the order of their starts.
+    """
 
-    def step(acc: Column, s: Column) -> Column:
-        before = F.substring(
-            text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")
+    def farthest(s: Column) -> Column:
+        """Before each span, the farthest end of the spans before it: running in short stretches."""
+        step = F.greatest(F.ceil(F.sqrt(F.size(s))).cast("int"), F.lit(1))
+        zero = F.lit(0).cast("long")
+        cut = F.transform(
+            F.sequence(F.lit(0), F.size(s) - 1, step),
+            lambda i: F.transform(F.slice(s, i + 1, step), lambda x: x["end"]),
         )
-        return F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(
-                s["start"] >= acc["at"],
-                F.concat(acc["out"], F.array(before, F.concat(F.lit("<"), s["kind"], F.lit(">")))),
+
+        def running(ends: Column, first: Column) -> Column:
+            return F.aggregate(
+                ends,
+                F.struct(first.alias("at"), F.array().cast("array<bigint>").alias("out")),
+                lambda acc, e: F.struct(
+                    F.greatest(acc["at"], e).alias("at"),
+                    F.concat(acc["out"], F.array(acc["at"])).alias("out"),
+                ),
+                lambda acc: acc["out"],
             )
-            .otherwise(acc["out"])
-            .alias("out"),
+
+        return bound(
+            cut,
+            lambda parts: F.flatten(
+                F.zip_with(parts, running(F.transform(parts, F.array_max), zero), running)
+            ),
         )
 
-    start = F.struct(
-        F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out")
-    )
-    changed = F.aggregate(
-        spans,
-        start,
-        step,
-        lambda acc: F.concat(
-            F.array_join(acc["out"], ""),
-            F.substring(text, (acc["at"] + 1).cast("int"), F.length(text)),
-        ),
-    )
-    return F.when(F.size(spans) > 0, changed).otherwise(text)
+    def changed(s: Column) -> Column:
+        return bound(
+            F.struct(farthest(s).alias("reached"), blocks_of(text).alias("blocks")),
+            lambda w: F.concat(
+                F.array_join(
+                    F.transform(
+                        s,
+                        lambda x, i: bound(
+                            F.get(w["reached"], i),
+                            lambda at: F.when(
+                                x["start"] >= at,
+                                F.concat(
+                                    cut_out(w["blocks"], at, x["start"]), F.lit("<"), x["kind"], F.lit(">")
+                                ),
+                            ).otherwise(""),
+                        ),
+                    ),
+                    "",
+                ),
+                cut_out(
+                    w["blocks"],
+                    F.array_max(F.transform(s, lambda x: x["end"])),
+                    F.length(text).cast("long"),
+                ),
+            ),
+        )
+
+    return F.when(F.size(spans) > 0, bound(spans, changed)).otherwise(text)

@@ -2,8 +2,12 @@
 
 Every line with a word is a position of the chain with two states. Viterbi decoding finds the best
 labelling of a text's lines; the share of its words in content lines decides retention, next to
-fixed base rules. The field is fitted by its exact likelihood gradient on a bounded sample of
-labelled texts, whose lines inherit the label of their text.
+fixed base rules.
+
+Only texts are labelled, so the states of lines are learnt: a first field starts from the label of a
+line's text; then, in turn, every training text is decoded, under the constraint that most words of
+a bad text lie in boilerplate and most words of a good one in content, and the field is fitted to
+these states by its exact likelihood gradient. Lines of one text can so get different states.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillspark.llm.scratch import text_of
+from tillspark.llm.scratch import free_names, text_of
 
 #: Fixed by the contract.
 SYMBOLS = b"#*$%&|<>"
@@ -95,30 +99,76 @@ class LineModel:
         return LineModel(np.zeros(len(FEATURES)), np.zeros((2, 2)))
 
     @staticmethod
-    def fit(texts: list[tuple[np.ndarray, int]], rounds: int = 150, ridge: float = 1e-4) -> LineModel:
-        """Maximum likelihood over texts given as (line features, state of all lines)."""
-        texts = [(x, y) for x, y in texts if len(x)]
-        if len({y for _, y in texts}) < 2:
+    def fit(
+        texts: list[tuple[np.ndarray, np.ndarray, int]],
+        rounds: int = 4,
+        steps: int = 150,
+        ridge: float = 1e-4,
+        longest: int = 60,
+    ) -> LineModel:
+        """Fit to texts given as (line features, words of the lines, 1 if the text is bad).
+
+        Chains of more than `longest` lines are trained on in pieces of that length.
+        """
+        texts = [t for t in texts if len(t[0])]
+        if len({bad for _, _, bad in texts}) < 2:
             return LineModel.keep_all()
-        longest, n = max(len(x) for x, _ in texts), len(texts)
-        x = np.zeros((n, longest, len(FEATURES)))
-        inside = np.zeros((n, longest), bool)
-        for i, (rows, _) in enumerate(texts):
-            x[i, : len(rows)], inside[i, : len(rows)] = rows, True
-        y = np.array([s for _, s in texts])
-        weight = np.where(y == 1, n / (2 * y.sum()), n / (2 * (n - y.sum())))
-        weight = weight / inside.sum(axis=1)  # a text counts once, whatever its length
-        size = len(FEATURES)
-        at, speed, power = np.zeros(size + 4), np.zeros(size + 4), np.zeros(size + 4)
-        for step in range(1, rounds + 1):
-            slope = _slope(at, x, inside, y, weight) / n + ridge * at
-            speed, power = 0.9 * speed + 0.1 * slope, 0.99 * power + 0.01 * slope**2
-            at = at - 0.2 * (speed / (1 - 0.9**step)) / (np.sqrt(power / (1 - 0.99**step)) + 1e-8)
-        return LineModel(at[:size], at[size:].reshape(2, 2))
+        states = [np.full(len(x), bad) for x, _, bad in texts]
+        pieces = [(i, at) for i, (x, _, _) in enumerate(texts) for at in range(0, len(x), longest)]
+        n, wide = len(pieces), min(longest, max(len(x) for x, _, _ in texts))
+        x, inside = np.zeros((n, wide, len(FEATURES))), np.zeros((n, wide), bool)
+        for row, (i, at) in enumerate(pieces):
+            part = texts[i][0][at : at + longest]
+            x[row, : len(part)], inside[row, : len(part)] = part, True
+        bad = np.array([texts[i][2] for i, _ in pieces])
+        # A text counts once, whatever its length, and both labels count alike.
+        weight = np.array([1 / len(texts[i][0]) for i, _ in pieces])
+        total = np.bincount([t[2] for t in texts], minlength=2)
+        weight *= np.where(bad == 1, len(texts) / (2 * total[1]), len(texts) / (2 * total[0]))
+        at = np.zeros(len(FEATURES) + 4)
+        for turn in range(rounds):
+            y = np.zeros((n, wide), np.int64)
+            for row, (i, first) in enumerate(pieces):
+                part = states[i][first : first + longest]
+                y[row, : len(part)] = part
+            # Later fits start near their end.
+            at = _climbed(at, x, inside, y, weight, steps if turn == 0 else steps // 2, ridge, turn == 0)
+            model = LineModel(at[: len(FEATURES)], at[len(FEATURES) :].reshape(2, 2))
+            new = [model.constrained(*t) for t in texts]
+            if turn and all((a == b).all() for a, b in zip(states, new, strict=True)):
+                break
+            states = new
+        return model
+
+    def constrained(self, features: np.ndarray, words: np.ndarray, bad: int) -> np.ndarray:
+        """Best labelling of a labelled text; lines which speak least against it turn until it fits.
+
+        At least half of the words must lie in lines of the state which the text's label says.
+        """
+        states = np.array(self.labels(features))
+        lean = (features @ self.weights) * (1 if bad else -1)
+        for line in np.argsort(-lean, kind="stable"):
+            if 2 * words[states == bad].sum() >= words.sum():
+                break
+            states[line] = bad
+        return states
+
+
+def _climbed(at, x, inside, y, weight, steps: int, ridge: float, lines_only: bool) -> np.ndarray:
+    """Maximum likelihood from `at` on; with `lines_only` the transitions stay as they are."""
+    speed, power = np.zeros_like(at), np.zeros_like(at)
+    total = weight.sum()
+    for step in range(1, steps + 1):
+        slope = _slope(at, x, inside, y, weight) / total + ridge * at
+        if lines_only:
+            slope[x.shape[2] :] = 0
+        speed, power = 0.9 * speed + 0.1 * slope, 0.99 * power + 0.01 * slope**2
+        at = at - 0.2 * (speed / (1 - 0.9**step)) / (np.sqrt(power / (1 - 0.99**step)) + 1e-8)
+    return at
 
 
 def _slope(at, x, inside, y, weight) -> np.ndarray:
-    """Gradient of the negative log-likelihood: expected minus observed counts."""
+    """Gradient of the negative log-likelihood of the states y (n, t): expected minus observed counts."""
     size = x.shape[2]
     scores = np.zeros((*inside.shape, 2))
     scores[:, :, 1] = x @ at[:size]
@@ -138,9 +188,9 @@ def _slope(at, x, inside, y, weight) -> np.ndarray:
         paths = np.logaddexp(trans[:, 0] + next_[:, 0, None], trans[:, 1] + next_[:, 1, None])
         behind[:, t] = np.where(on[:, None], paths, 0.0)
     likely = np.exp(np.minimum(ahead[:, :, 1] + behind[:, :, 1] - total[:, None], 0)) * inside
-    excess = (likely - y[:, None] * inside) * weight[:, None]
-    for s in (0, 1):
-        pairs[s, s] -= ((inside.sum(axis=1) - 1) * weight)[y == s].sum()
+    excess = (likely - y * inside) * weight[:, None]
+    both = inside[:, 1:] & inside[:, :-1]
+    np.add.at(pairs, (y[:, :-1][both], y[:, 1:][both]), -np.broadcast_to(weight[:, None], both.shape)[both])
     return np.concatenate((np.einsum("nt,ntf->f", excess, x), pairs.ravel()))
 
 
@@ -213,42 +263,53 @@ def fit_line_model(
     text_col: str = "text",
     label_col: str = "quality",
     texts_per_label: int = 500,
-    lines_per_text: int = 60,
 ) -> LineModel:
-    """Fit on at most `texts_per_label` texts of each label, chosen by a hash of their id.
+    """Fit on at most `texts_per_label` whole texts of each label, chosen by a hash of their id.
 
-    Texts of more than `lines_per_text` lines are left out of the fit. Without labelled rows of
-    both kinds all lines count as content.
+    An id with both labels counts as bad, one with several texts by the text of least hash, so reruns
+    take the same rows. Without labelled rows of both kinds all lines count as content.
     """
     chosen = None
     for label in (0, 1):
         some = (
             labels.where((F.col(label_col) == label) & F.col(id_col).isNotNull())
-            .select(F.col(id_col).alias("_id"), F.lit(1 - label).alias("_state"))
+            .select(F.col(id_col).alias("_id"), F.lit(1 - label).alias("_bad"))
+            .distinct()
             .orderBy(F.xxhash64("_id"), "_id")
             .limit(texts_per_label)
         )
         chosen = some if chosen is None else chosen.union(some)
+    chosen = chosen.groupBy("_id").agg(F.max("_bad").alias("_bad"))
 
-    @F.pandas_udf("array<double>")
-    def features(texts: pd.Series) -> pd.Series:
-        out = []
+    @F.pandas_udf("x binary, words binary")
+    def features(texts: pd.Series) -> pd.DataFrame:
+        rows = []
         for text in texts:
             lines = text.encode("utf-8", "replace").split(b"\n")
-            x = line_features(lines, [line.split() for line in lines])
-            out.append(x.ravel() if len(x) <= lines_per_text else np.zeros(0))
-        return pd.Series(out, dtype=object)
+            by_line = [line.split() for line in lines]
+            words = np.array([len(w) for w in by_line if w], np.int64)
+            rows.append((line_features(lines, by_line).tobytes(), words.tobytes()))
+        return pd.DataFrame(rows, columns=["x", "words"])
 
-    # Two lists of bounded size; their ids are unique enough for a broadcast.
-    rows = (
+    # Two lists of bounded size; their ids are unique, so that a broadcast holds no more.
+    once = (
         docs.select(F.col(id_col).alias("_id"), text_of(docs, text_col).alias("_text"))
-        .join(F.broadcast(chosen.dropDuplicates(["_id"])), "_id")
-        .select("_id", "_state", features("_text").alias("x"))
-        .dropDuplicates(["_id"])
-        .collect()
+        .join(F.broadcast(chosen), "_id")
+        .groupBy("_id", "_bad")
+        .agg(F.min(F.struct(F.xxhash64("_text"), "_text"))["_text"].alias("_text"))
     )
+    rows = once.select("_id", "_bad", features("_text").alias("f")).select("_id", "_bad", "f.*").collect()
     rows.sort(key=lambda r: r["_id"])
-    return LineModel.fit([(np.array(r["x"]).reshape(-1, len(FEATURES)), r["_state"]) for r in rows])
+    return LineModel.fit(
+        [
+            (
+                np.frombuffer(r["x"], np.float64).reshape(-1, len(FEATURES)),
+                np.frombuffer(r["words"], np.int64),
+                r["_bad"],
+            )
+            for r in rows
+        ]
+    )
 
 
 def assess(
@@ -256,24 +317,27 @@ def assess(
     model: LineModel,
     text_col: str = "text",
     least_content: float = 0.5,
+    out: str = "_quality",
 ) -> DataFrame:
-    """`docs` with the column `_quality`: counts, `base_failed`, `content_share` and `kept`.
+    """`docs` with the column `out`: counts, `base_failed`, `content_share` and `kept`.
 
     Null texts count as empty; a text without words has content share 0 and fails the base rules.
-    Rows are judged one by one, so repeated rows get equal verdicts. Other columns are untouched.
+    Rows are judged one by one, so repeated rows get equal verdicts. Other columns are untouched; a
+    column named `out` is replaced.
     """
-    measured = docs.withColumn("_m", _measured(text_of(docs, text_col), model))
-    m = F.col("_m")
+    [working] = free_names(docs, "_m")
+    measured = docs.withColumn(working, _measured(text_of(docs, text_col), model))
+    m = F.col(working)
     failed = (m["n_words"] < LEAST_WORDS) | (
         100 * m["n_repeat_words"] > REPEATED_PERCENT * m["n_words"]
     )
     share = F.when(m["n_words"] > 0, m["content_words"] / m["n_words"]).otherwise(0.0)
     return measured.withColumn(
-        "_quality",
+        out,
         F.struct(
             *[m[c].alias(c) for c in _COUNTS],
             failed.alias("base_failed"),
             share.alias("content_share"),
             (~failed & (share >= least_content)).alias("kept"),
         ),
-    ).drop("_m")
+    ).drop(working)

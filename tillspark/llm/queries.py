@@ -95,9 +95,15 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op5_chat")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    said = "</s>[INST] ok [/INST]"
-    probe = spark.createDataFrame(
-        [(-1, 0, "user", said), (-1, 1, "assistant", said)], stored.schema
+    kinds = {f.name: f.dataType for f in stored.schema}
+    rows = F.array(
+        *[F.struct(F.lit(t).alias("turn"), F.lit(r).alias("role")) for t, r in ((0, "user"), (1, "assistant"))]
+    )
+    probe = spark.range(1).select(F.inline(rows)).select(
+        F.lit(-1).cast(kinds["conv_id"]).alias("conv_id"),
+        F.col("turn").cast(kinds["turn"]),
+        "role",
+        F.lit("</s>[INST] ok [/INST]").alias("text"),
     )
     turns = stored.union(probe).withColumn("parts", chat.text_part(F.col("text")))
     out = chat.format_chats(turns).withColumns(

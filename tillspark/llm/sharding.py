@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tillspark.llm.scratch import keep
+from tillspark.llm.scratch import free_names, keep
 
 #: Bytes which a document takes besides its text, fixed by the contract.
 OVERHEAD = 16
@@ -132,8 +132,14 @@ def boundaries(keyed: DataFrame, shards: int, tolerance: float) -> list[tuple[in
     return out
 
 
-def _shard_of(docs: DataFrame, limits: list[tuple[int, int | None]]) -> DataFrame:
-    """Add `shard`: the number of limits at or below a row's key.
+def _shard_of(
+    docs: DataFrame,
+    limits: list[tuple[int, int | None]],
+    hash_: str,
+    id_: str,
+    working: tuple[str, str, str],
+) -> DataFrame:
+    """Add `_shard`: the number of limits at or below a row's key (columns `hash_` and `id_`).
 
     Limits go into a table by the leading bits of their hash: 2^12 rows and the limits, whatever
     the size of the data. A row compares its key with the limits of its own cell only.
@@ -151,21 +157,21 @@ def _shard_of(docs: DataFrame, limits: list[tuple[int, int | None]]) -> DataFram
         inside = by_cell.get(cell, [])
         rows.append((cell, below, [(h, str(i)) for h, i in inside]))
         below += len(inside)
+    of_cell, under, edges = working
     table = spark.createDataFrame(
-        rows, "_cell int, _below int, _limits array<struct<h: bigint, i: string>>"
+        rows, f"{of_cell} int, {under} int, {edges} array<struct<h: bigint, i: string>>"
     )
-    id_ = F.coalesce("_id", F.lit(-(2**63))).cast("decimal(20,0)")
+    own = F.coalesce(F.col(id_), F.lit(-(2**63))).cast("decimal(20,0)")
     reached = F.filter(
-        "_limits",
-        lambda x: (x["h"] < F.col("_hash"))
-        | ((x["h"] == F.col("_hash")) & (x["i"].cast("decimal(20,0)") <= id_)),
+        F.col(edges),
+        lambda x: (x["h"] < F.col(hash_))
+        | ((x["h"] == F.col(hash_)) & (x["i"].cast("decimal(20,0)") <= own)),
     )
-    cell = F.shiftright("_hash", shift).cast("int").alias("_cell")
     return (
-        docs.withColumn("_cell", cell)
-        .join(F.broadcast(table), "_cell")  # 4,096 rows and one entry per shard
-        .withColumn("shard", F.col("_below") + F.size(reached))
-        .drop("_cell", "_below", "_limits")
+        docs.withColumn(of_cell, F.shiftright(F.col(hash_), shift).cast("int"))
+        .join(F.broadcast(table), of_cell)  # 4,096 rows and one entry per shard
+        .withColumn("_shard", F.col(under) + F.size(reached))
+        .drop(*working)
     )
 
 
@@ -181,21 +187,22 @@ def shard(
     Bytes of a shard differ from an equal share by at most twice `tolerance` of it, or the size of
     the documents at its boundaries. Null texts are empty texts; a null id orders first. Rows with
     equal id and equal text are one key and stay together, in any order. An empty table stays
-    empty. Columns of other names are kept.
+    empty. All other columns are kept; input columns named `_size`, `_shard` or `_slot` are replaced.
     """
     text = F.coalesce(docs[text_col], F.lit(""))
+    hash_, id_, cell, below, edges = free_names(docs, "_hash", "_id", "_cell", "_below", "_limits")
     sized = docs.withColumns(
         {
             "_size": (F.octet_length(text) + OVERHEAD).cast("long"),
-            "_hash": text_hash(text),
-            "_id": docs[id_col].cast("long"),
+            hash_: text_hash(text),
+            id_: docs[id_col].cast("long"),
         }
     )
     keyed = keep(
-        sized.select(F.col("_hash").alias("hash"), F.col("_id").alias("id"), F.col("_size").alias("size")),
+        sized.select(F.col(hash_).alias("hash"), F.col(id_).alias("id"), F.col("_size").alias("size")),
         "shard-keys",
     )
     limits = boundaries(keyed, shards, tolerance)
-    dealt = _shard_of(sized, limits).withColumnRenamed("shard", "_shard")
-    slots = W.partitionBy("_shard").orderBy("_hash", "_id", "_size")
-    return dealt.withColumn("_slot", (F.row_number().over(slots) - 1).cast("long")).drop("_hash", "_id")
+    dealt = _shard_of(sized, limits, hash_, id_, (cell, below, edges))
+    slots = W.partitionBy("_shard").orderBy(hash_, id_, "_size")
+    return dealt.withColumn("_slot", (F.row_number().over(slots) - 1).cast("long")).drop(hash_, id_)

@@ -412,11 +412,12 @@ class Scorer:
 
 def scored(spark: SparkSession, text: Column, model: ToxicModel) -> Column:
     """Struct (score, windows) of a text column; a text without words scores 0."""
-    shared = spark.sparkContext.broadcast(model)
+    # Plain values: a broadcast is read in workers which may not have the package.
+    shared = spark.sparkContext.broadcast((model.weights, model.row_of, model.slope, model.shift))
 
     @F.pandas_udf("score double, windows bigint")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        scorer = Scorer(shared.value)
+        scorer = Scorer(ToxicModel(*shared.value))
         for texts in batches:
             out = scorer(texts.tolist())
             yield pd.DataFrame({"score": out[:, 0], "windows": out[:, 1].astype("int64")})
@@ -442,7 +443,7 @@ def fit_on(
     """Fit on a bounded sample of labelled texts that are not held out, chosen by a hash of the id.
 
     At most `toxic_texts` + `other_texts` texts; longer ones than `characters` are left out of the
-    fit. Without both labels every text with words gets a score of a few hundredths.
+    fit. Repeated ids and rows are chosen by label and hash, so reruns take the same. Without both labels every text with words gets a score of a few hundredths.
     """
     free = labels.where(~held_out(F.col(id_col)) & F.col(id_col).isNotNull())
     chosen = None
@@ -450,15 +451,20 @@ def fit_on(
         some = (
             free.where(F.col(label_col) == label)
             .select(F.col(id_col).alias("_id"), F.lit(label).alias("_y"))
+            .distinct()
             .orderBy(F.xxhash64("_id"), "_id")
             .limit(most)
         )
         chosen = some if chosen is None else chosen.union(some)
+    # An id with both labels counts as toxic, one with several texts by the one of least hash.
+    chosen = chosen.groupBy("_id").agg(F.max("_y").alias("_y"))
+    texts = docs.select(F.col(id_col).alias("_id"), text_of(docs, text_col).alias("_text")).where(
+        F.length("_text") <= characters
+    )
     rows = (
-        docs.select(F.col(id_col).alias("_id"), text_of(docs, text_col).alias("_text"))
-        .where(F.length("_text") <= characters)
-        .join(F.broadcast(chosen.dropDuplicates(["_id"])), "_id")
-        .dropDuplicates(["_id"])
+        texts.join(F.broadcast(chosen), "_id")
+        .groupBy("_id", "_y")
+        .agg(F.min(F.struct(F.xxhash64("_text"), "_text"))["_text"].alias("_text"))
         .collect()  # bounded by the two limits
     )
     rows.sort(key=lambda r: r["_id"])
