@@ -83,7 +83,7 @@ def test_fits_equal_brute_force(spark, sample, monkeypatch):
             for u in ([float(v) for v in np.unique(c[~np.isnan(c)])] for c in x.T)
         ]
         want = _brute(x, y, full["trees"], full["rate"], full["leaves"], full["l2"], full["least_rows"], limits)
-        told = rows.select("id", F.array(*columns).alias("_x")).selectExpr("id", f"{models[k].sql(columns)} AS p")
+        told = rows.select("id", F.array(*columns).alias("_x")).selectExpr("id", f"{models[k].sql()} AS p")
         got = np.array([r["p"] for r in told.orderBy("id").collect()])
         assert got == pytest.approx(want, rel=1e-9, abs=1e-9)
         assert max(sum(v < 0 for v in t.left) for t in models[k].trees) <= full["leaves"]
@@ -104,6 +104,6 @@ def test_many_values_are_binned_by_quantiles(spark):
     y = (x[:, 0] > 0.5) * 10.0
     model = boosting.fit_many(_frame(spark, x, y, [0]), {0: {"trees": 40, "rate": 0.5, "leaves": 3}}, bins=32)[0]
     assert len(model.limits[0]) <= 31
-    told = spark.createDataFrame([([0.1],), ([0.9],)], "_x array<double>").selectExpr(f"{model.sql(['a'])} AS p")
+    told = spark.createDataFrame([([0.1],), ([0.9],)], "_x array<double>").selectExpr(f"{model.sql()} AS p")
     low, high = (r["p"] for r in told.collect())
     assert low < 1 and high > 9

@@ -7,7 +7,7 @@ from tillspark.operators.checks import CheckFailed
 from tillspark.sources.model_store import ModelStore, content_of
 
 SMALL = {
-    "random_forest": {"numTrees": 3, "maxDepth": 2},
+    "random_forest": {"trees": 3, "depth": 2},
     "gradient_boosting": {"trees": 2, "leaves": 3},
 }
 
@@ -20,7 +20,7 @@ def blocks(spark):
 
 def test_a_second_session_opens_what_the_first_stored(spark, blocks, tmp_path, monkeypatch):
     train, validation, test = blocks
-    monkeypatch.setitem(forecast.GRIDS, "random_forest", {"numTrees": [2], "maxDepth": [2]})
+    monkeypatch.setitem(forecast.GRIDS, "random_forest", {"trees": [2], "depth": [2]})
     monkeypatch.setitem(forecast.GRIDS, "gradient_boosting", {"trees": [2], "leaves": [3]})
     store = ModelStore(spark, str(tmp_path / "store"))
     first = forecast.stored_run(store, train, validation, 2, 2, settings=SMALL)

@@ -64,44 +64,55 @@ class Boosted:
     trees: list[Tree]
     limits: list[list[float]]
 
-    def sql(self, columns: Sequence[str]) -> str:
-        """The prediction as Spark SQL over columns of a subquery with the array `_x` of `columns`."""
-        nodes = [
-            [
-                {
-                    "f": t.feature[i],
-                    "t": self.limits[t.feature[i]][t.bin[i]] if t.left[i] >= 0 and t.bin[i] < len(self.limits[t.feature[i]]) else 0.0,
-                    # A split after the last bin parts known from missing values.
-                    "a": t.left[i] >= 0 and t.bin[i] >= len(self.limits[t.feature[i]]),
-                    "m": t.missing_left[i],
-                    "l": t.left[i],
-                    "r": t.right[i],
-                    "v": t.value[i],
-                }
-                for i in range(len(t.left))
-            ]
-            for t in self.trees
-        ]
-        kind = "array<array<struct<f:int,t:double,a:boolean,m:boolean,l:int,r:int,v:double>>>"
-        deepest = max((_depth(t) for t in self.trees), default=0)
-        at = "_t[_n]"
-        step = (
-            f"CASE WHEN {at}.l < 0 THEN _n "
-            f"WHEN _x[{at}.f] IS NULL OR isnan(_x[{at}.f]) THEN IF({at}.m, {at}.l, {at}.r) "
-            f"WHEN {at}.a OR _x[{at}.f] <= {at}.t THEN {at}.l ELSE {at}.r END"
-        )
-        walk = f"aggregate(sequence(1, {max(1, deepest)}), 0, (_n, _i) -> {step})"
-        return (
-            f"aggregate(from_json('{json.dumps(nodes)}', '{kind}'), CAST('{self.base!r}' AS DOUBLE), "
-            f"(_s, _t) -> _s + element_at(_t, 1 + {walk}).v)"
-        )
+    def sql(self) -> str:
+        """The prediction as Spark SQL over the array `_x` of the features."""
+        trees, missing = [], []
+        for t in self.trees:
+            edges = [self.limits[f] for f in t.feature]
+            # A split after the last bin parts known from missing values.
+            at = [e[b] if b < len(e) else float("inf") for e, b in zip(edges, t.bin, strict=True)]
+            trees.append((t.feature, at, t.left, t.right, t.value))
+            missing.append([int(m) for m in t.missing_left])
+        return walk_sql(trees, self.base, missing)
+
+
+def walk_sql(
+    trees: Sequence[tuple[list, list, list, list, list]],
+    base: float,
+    missing_left: Sequence[list[int]] | None = None,
+) -> str:
+    """`base` plus the sum of trees (feature, threshold, left, right, value) as SQL over the array `_x`.
+
+    A row goes left if its feature is at most the threshold; missing ones where `missing_left` says,
+    else right. A left of -1 marks a leaf.
+    """
+    told = [
+        {
+            "f": list(f), "t": ["Infinity" if v == float("inf") else v for v in t], "l": list(left), "r": list(right),
+            "v": list(v), "m": missing_left[i] if missing_left else [],
+        }
+        for i, (f, t, left, right, v) in enumerate(trees)
+    ]
+    kind = "array<struct<f:array<int>,t:array<double>,l:array<int>,r:array<int>,v:array<double>,m:array<int>>>"
+    deepest = max((_depth(left, right) for _, _, left, right, _ in trees), default=0)
+    side = "IF(_t.m[_n] = 1, _t.l[_n], _t.r[_n])" if missing_left else "_t.r[_n]"
+    step = (
+        f"CASE WHEN _t.l[_n] < 0 THEN _n "
+        f"WHEN _x[_t.f[_n]] IS NULL OR isnan(_x[_t.f[_n]]) THEN {side} "
+        f"WHEN _x[_t.f[_n]] <= _t.t[_n] THEN _t.l[_n] ELSE _t.r[_n] END"
+    )
+    walk = f"aggregate(sequence(1, {max(1, deepest)}), 0, (_n, _i) -> {step})"
+    text = json.dumps(told, separators=(",", ":"))
+    return (
+        f"aggregate(from_json('{text}', '{kind}'), CAST('{base!r}' AS DOUBLE), (_s, _t) -> _s + _t.v[{walk}])"
+    )
 
 
-def _depth(tree: Tree) -> int:
-    depth = [0] * len(tree.left)
-    for i, left in enumerate(tree.left):
-        if left >= 0:
-            depth[left] = depth[tree.right[i]] = depth[i] + 1
+def _depth(left: Sequence[int], right: Sequence[int]) -> int:
+    depth = [0] * len(left)
+    for i, a in enumerate(left):
+        if a >= 0:
+            depth[a] = depth[right[i]] = depth[i] + 1
     return max(depth, default=0)
 
 
