@@ -25,7 +25,12 @@ def new_folder(spark: SparkSession, label: str) -> str:
 
 
 def materialize(df: DataFrame, path: str) -> DataFrame:
-    """Write as Parquet and read back, which cuts the lineage and survives lost executors."""
+    """Write as Parquet and read back, which cuts the lineage and survives lost executors.
+
+    The table goes when the session's driver ends; until then frames may read it.
+    """
+    target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).deleteOnExit(target)
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
