@@ -2,7 +2,7 @@
 
 Kiveris et al., "Connected Components in MapReduce and Beyond" (2014). All state is a table of
 links in the shared folder; the driver sees one row of counts per round. Minimum labels combine
-on the map side; the joins back to a star's centre are plain equi-joins which AQE may split.
+on the map side; in the joins back to a star's centre its links are dealt to salted parts.
 """
 
 from __future__ import annotations
@@ -13,20 +13,35 @@ from pyspark.sql import functions as F
 from tillspark.sources.workspace import materialize, new_folder, remove
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _with_least(rows: DataFrame, salts: int) -> DataFrame:
+    """Add `m`, the least `b` of each `a`, to rows (a, b).
+
+    A hub of many links is dealt to `salts` parts throughout: its rows meet the minimum by part, and
+    only one row per part meets by `a` alone.
+    """
+    salted = rows.withColumn("s", F.pmod(F.xxhash64("b"), F.lit(salts)))
+    parts = salted.groupBy("a", "s").agg(F.min("b").alias("p"))
+    least = parts.groupBy("a").agg(F.min("p").alias("m"))
+    of_part = parts.select("a", "s").join(least, "a")
+    return salted.join(of_part, ["a", "s"]).drop("s")
+
+
+def _large_star(links: DataFrame, salts: int) -> DataFrame:
     """Every larger neighbour of a node is tied to the smallest of the node's neighbourhood."""
     both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return (
-        both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    )
+    tied = _with_least(both, salts).where("b > a")
+    return tied.select(F.col("b").alias("a"), F.least("m", "a").alias("b"))
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame, salts: int) -> DataFrame:
     """Every smaller neighbour of a node, and the node, are tied to the smallest of them."""
-    least = links.groupBy("a").agg(F.min("b").alias("m"))
-    tied = links.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return tied.union(least.select("a", F.col("m").alias("b")))
+    tied = _with_least(links, salts)
+    smaller = tied.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return smaller.union(tied.select("a", F.col("m").alias("b")))
+
+
+#: Links for each part into which a hub's links are dealt, and the least number of parts.
+LINKS_PER_SALT, LEAST_SALTS = 100_000, 32
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -52,7 +67,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     now, path, state = written(edges)
     while True:
-        after, new_path, new_state = written(_small_star(_large_star(now)).distinct())
+        salts = max(LEAST_SALTS, state[0] // LINKS_PER_SALT)
+        tied = _large_star(now, salts).distinct()
+        after, new_path, new_state = written(_small_star(tied, salts).distinct())
         remove(spark, path)
         now, path = after, new_path
         if new_state == state:

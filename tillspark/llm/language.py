@@ -31,6 +31,8 @@ ROWS, WIDTH = 1 << 16, 16
 SIZES = (2, 3, 4)
 #: Distinct words whose sums a task keeps.
 KEPT_WORDS = 200_000
+#: Parts into which the rows of a language are dealt when those to learn from are chosen.
+RANKED_PARTS = 64
 #: Answer for texts without a letter.
 UNKNOWN = "und"
 
@@ -282,10 +284,12 @@ def fit_on(
     )
     free = free.where("_id is not null and _lang is not null and _text is not null")
     rank = F.struct(F.xxhash64("_id", "_digest").alias("h"), "_id", "_digest")
-    per = F.row_number().over(Window.partitionBy("_lang").orderBy(rank))
-    keys = free.select("_lang", "_id", "_digest").withColumn("_nth", per).where(
-        F.col("_nth") <= texts_per_language
-    )
+    # First within parts of a language, so that no task ranks more than the parts' leaders of one.
+    part = F.pmod(F.xxhash64("_digest", "_id"), F.lit(RANKED_PARTS))
+    keys = free.select("_lang", "_id", "_digest", part.alias("_part"))
+    for by in (("_lang", "_part"), ("_lang",)):
+        nth = F.row_number().over(Window.partitionBy(*by).orderBy(rank))
+        keys = keys.withColumn("_nth", nth).where(F.col("_nth") <= texts_per_language)
     chosen = keys.groupBy("_id", "_digest").agg(F.min("_lang").alias("_lang"))
     held = chosen.select("_lang").distinct().limit(most_languages + 1).count()
     if held > most_languages:
