@@ -62,7 +62,9 @@ def _frame(spark, x, y, fits):
     return spark.createDataFrame(rows, "fit int, x array<double>, y double").repartition(4)
 
 
-def test_fits_equal_brute_force(spark, sample, monkeypatch):
+@pytest.mark.parametrize("short", [0, 50_000])
+def test_fits_equal_brute_force(spark, sample, monkeypatch, short):
+    monkeypatch.setattr(boosting, "SHORT_ROWS", short)
     monkeypatch.setattr(boosting, "TREES_KEPT", 3)
     monkeypatch.setattr(boosting, "ROWS_PER_PIECE", 130)
     x, y = sample

@@ -8,7 +8,8 @@ children of leaves whose turn may come; the order of splits is not changed by th
 
 Loss is half the squared error, so a row's second derivative is one. A split's gain is
 G_l^2 / (n_l + l2) + G_r^2 / (n_r + l2) - G^2 / (n + l2), a leaf's value -rate * G / (n + l2).
-Missing values have a bin of their own, sent to the better side. Predictions so far are kept with
+Missing values have a bin of their own, sent to the better side. A short block, such as the days of a
+series, is one piece: its rounds need no other task, so each such fit is one task. Predictions so far are kept with
 the rows and brought forward every few trees; all of it can be recomputed from the input rows.
 """
 
@@ -29,6 +30,8 @@ DEFAULTS = {"trees": 150, "rate": 0.1, "leaves": 15, "l2": 10.0, "least_rows": 2
 BINS = 255
 #: Rows of one piece of the input, and trees after which predictions are brought forward.
 ROWS_PER_PIECE, TREES_KEPT = 100_000, 10
+#: Rows up to which a fit is one piece in one task, which then takes all rounds by itself.
+SHORT_ROWS = 50_000
 
 
 @dataclass
@@ -318,6 +321,12 @@ def fit_many(rows: DataFrame, settings: dict[int, dict], bins: int = BINS) -> di
         limits = {k: [found.get(k, {}).get(f, []) for f in range(sizes[k]["d"])] for k in wanted}
         widths = {k: np.array([len(v) + 2 for v in of]) for k, of in limits.items()}
         base = {k: float(sizes[k]["mean"]) for k in wanted}
+        missing = {k: w - 1 for k, w in widths.items()}
+        short = {k for k in wanted if sizes[k]["n"] <= SHORT_ROWS}
+        finished: dict[int, Boosted] = _short_fits(rows, wanted, short, limits, widths, base)
+        wanted = {k: s for k, s in wanted.items() if k not in short}
+        if not wanted:
+            return finished
         pieces = max(1, max(-(-sizes[k]["n"] // ROWS_PER_PIECE) for k in wanted))
         cut = (
             rows.where(F.col("fit").isin(list(wanted)))
@@ -333,10 +342,8 @@ def fit_many(rows: DataFrame, settings: dict[int, dict], bins: int = BINS) -> di
 
         state = cut.rdd.map(opened).persist(StorageLevel.MEMORY_AND_DISK)
         growing = {k: _Growing(wanted[k], widths[k]) for k in wanted}
-        missing = {k: w - 1 for k, w in widths.items()}
         recent: dict[int, list[tuple]] = {k: [] for k in wanted}
         parts = state.getNumPartitions()
-        finished: dict[int, Boosted] = {}
         while growing:
             asked = {k: g.wanted() for k, g in growing.items() if not g.grown}
             asked = {k: nodes for k, nodes in asked.items() if nodes}
@@ -364,6 +371,57 @@ def fit_many(rows: DataFrame, settings: dict[int, dict], bins: int = BINS) -> di
             state.unpersist()
 
 
+def _short_fits(
+    rows: DataFrame, wanted: dict, short: set[int], limits: dict, widths: dict, base: dict
+) -> dict[int, Boosted]:
+    """Fits of one piece each, side by side in tasks of their own."""
+    if not short:
+        return {}
+    cut, missing = _pieces(limits), {k: w - 1 for k, w in widths.items()}
+
+    def grown(block: pd.DataFrame) -> pd.DataFrame:
+        fit = int(block["fit"].iloc[0])
+        # In one order, so that a retried task adds up alike.
+        x = np.stack([np.array(v, np.float64) for v in block["x"]])
+        block = block.iloc[np.lexsort((block["y"].to_numpy(np.float64), *np.nan_to_num(x, nan=np.inf).T[::-1]))]
+        [piece] = [p.iloc[0] for p in cut(iter([block]))]
+        bins = np.frombuffer(piece["bins"], np.uint16).reshape(len(block), -1)
+        y = np.frombuffer(piece["y"], np.float64)
+        told, growing = np.full(len(y), base[fit]), _Growing(wanted[fit], widths[fit])
+        while len(growing.trees) < wanted[fit]["trees"]:
+            nodes = growing.wanted()
+            if nodes:
+                count = _counter({fit: nodes}, {fit: growing.tree.plain()}, {fit: []}, widths, missing)
+                growing.learn(nodes, next(count(iter([(fit, bins, y, told)])))[fit])
+            else:
+                told = _with_trees(fit, bins, told, [growing.finish().plain()], missing)
+        trees = growing.trees
+        return pd.DataFrame(
+            {
+                "fit": fit,
+                "tree": range(len(trees)),
+                **{c: [getattr(t, c) for t in trees] for c in TREE_COLUMNS},
+            }
+        )
+
+    kinds = dict(zip(TREE_COLUMNS, ("int", "int", "boolean", "int", "int", "double"), strict=True))
+    found = (
+        rows.where(F.col("fit").isin(list(short)))
+        .repartition(len(short), "fit")
+        .groupBy("fit")
+        .applyInPandas(grown, "fit int, tree int, " + ", ".join(f"`{c}` array<{k}>" for c, k in kinds.items()))
+        .collect()  # the models themselves
+    )
+    out = {}
+    for k in short:
+        own = sorted((r for r in found if r["fit"] == k), key=lambda r: r["tree"])
+        out[k] = Boosted(base[k], [Tree(*[list(r[c]) for c in TREE_COLUMNS]) for r in own], limits[k])
+    return out
+
+
+TREE_COLUMNS = ("feature", "bin", "missing_left", "left", "right", "value")
+
+
 def _with_trees(fit: int, bins: np.ndarray, told: np.ndarray, trees: list[tuple], missing: dict) -> np.ndarray:
     for tree in trees:
         told = told + tree[5][_leaf_of(tree, bins, missing[fit])]
