@@ -16,6 +16,7 @@ from tillspark.functions.columns import (
     same,
     timestamp,
 )
+from tillspark.operators.joinback import join_back
 from tillspark.operators.ordered import ROWS_PER_BUCKET, keep, row_numbers
 from tillspark.schema import COLUMN_MAP, UNKNOWN, SourceSchema
 
@@ -31,7 +32,10 @@ RULES = [
 
 
 def mark_overlap_copies(
-    raw: DataFrame, schema: SourceSchema, rows_per_bucket: int = ROWS_PER_BUCKET
+    raw: DataFrame,
+    schema: SourceSchema,
+    rows_per_bucket: int = ROWS_PER_BUCKET,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Add `overlap_copy`: surplus copies of a raw line which an earlier sheet already holds.
 
@@ -40,19 +44,20 @@ def mark_overlap_copies(
 
     Counting comes first: copies shrink on the map side, and only lines seen in two sheets are
     looked at again. Positions inside a sheet are needed just where a sheet holds more copies
-    than all earlier ones; there the last surplus copy is found with bucketed numbering, so one
-    line copied a billion times does not become one task.
+    than all earlier ones; there the last surplus copy is found with bucketed numbering, and what is
+    known of a line meets its copies in as many parts as there are `hot_rows` of them. So one line
+    copied a billion times does not become one task.
     """
     keys, sheet, order = list(schema.required), schema.sheet, schema.order
     # sheets are compared by 64-bit hash here: a text buffer would force a sort-based aggregate
     tag = F.xxhash64(sheet)
     in_two = (
         raw.groupBy(*keys)
-        .agg(F.min(tag).alias("_first"), F.max(tag).alias("_last"))
+        .agg(F.min(tag).alias("_first"), F.max(tag).alias("_last"), F.count(F.lit(1)).alias("_size"))
         .where(F.col("_first") < F.col("_last"))
-        .select(*[F.col(k).alias(f"_2_{k}") for k in keys])
+        .select(*[F.col(k).alias(f"_2_{k}") for k in keys], "_size")
     )
-    suspects = raw.join(in_two, same(raw, in_two, {k: f"_2_{k}" for k in keys}), "left_semi")
+    suspects = join_back(raw, in_two, {k: f"_2_{k}" for k in keys}, "_size", "left_semi", hot_rows)
     earlier = W.partitionBy(*keys).orderBy(sheet).rowsBetween(W.unboundedPreceding, -1)
     per_sheet = keep(
         suspects.groupBy(*keys, sheet)
@@ -61,11 +66,14 @@ def mark_overlap_copies(
         .where(F.col("_before").isNotNull())
     )
     partly = per_sheet.where(F.col("_before") < F.col("_here")).select(
-        *[F.col(c).alias(f"_p_{c}") for c in [*keys, sheet]], F.col("_before").alias("_keep_after")
+        *[F.col(c).alias(f"_p_{c}") for c in [*keys, sheet]],
+        F.col("_before").alias("_keep_after"),
+        F.col("_here").alias("_size"),
     )
+    in_sheet = {c: f"_p_{c}" for c in [*keys, sheet]}
     numbered = row_numbers(
         keep(
-            raw.join(partly, same(raw, partly, {c: f"_p_{c}" for c in [*keys, sheet]})).select(
+            join_back(raw, partly, in_sheet, "_size", "inner", hot_rows).select(
                 *keys, sheet, order, "_keep_after"
             )
         ),
@@ -83,10 +91,10 @@ def mark_overlap_copies(
         *[F.col(c).alias(f"_g_{c}") for c in [*keys, sheet]],
         (F.col("_before") >= F.col("_here")).alias("_all"),
         "_last_surplus",
+        F.col("_here").alias("_size"),
     )
-    return raw.join(
-        groups, same(raw, groups, {c: f"_g_{c}" for c in [*keys, sheet]}), "left"
-    ).select(
+    back = {c: f"_g_{c}" for c in [*keys, sheet]}
+    return join_back(raw, groups, back, "_size", "left", hot_rows).select(
         raw["*"],
         F.coalesce(F.col("_all") | (F.col(order) <= F.col("_last_surplus")), F.lit(False)).alias(
             "overlap_copy"
@@ -169,21 +177,26 @@ def accepted(flagged: DataFrame, schema: SourceSchema) -> DataFrame:
     )
 
 
-def mark_repeats(df: DataFrame, keys: list[str], name: str = "ambiguous_duplicate") -> DataFrame:
+def mark_repeats(
+    df: DataFrame,
+    keys: list[str],
+    name: str = "ambiguous_duplicate",
+    hot_rows: int | None = None,
+) -> DataFrame:
     """True on every row which shares all key values with another row.
 
-    Repeated keys are counted first (map-side combine) and joined back, so a heavily repeated
-    row is never gathered in one window task.
+    Repeated keys are counted first (map-side combine) and joined back in parts of `hot_rows` rows, so
+    a heavily repeated row is gathered in no task, neither of a window nor of a join.
     """
     repeated = (
         df.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_n"))
         .where(F.col("_n") > 1)
-        .select(*[F.col(k).alias(f"_r_{k}") for k in keys], F.lit(True).alias("_repeat"))
+        .select(*[F.col(k).alias(f"_r_{k}") for k in keys], "_n", F.lit(True).alias("_repeat"))
+    )
+    return join_back(df, repeated, {k: f"_r_{k}" for k in keys}, "_n", "left", hot_rows).select(
+        df["*"], F.coalesce("_repeat", F.lit(False)).alias(name)
     )
-    return df.join(
-        repeated, same(df, repeated, {k: f"_r_{k}" for k in keys}), "left"
-    ).select(df["*"], F.coalesce("_repeat", F.lit(False)).alias(name))
 
 
 def cleaning_log(flagged: DataFrame, lines: DataFrame, schema: SourceSchema) -> DataFrame:
