@@ -202,9 +202,38 @@ def _(m):
     return rounded(profile.correlations(features.block(m["split"], "train"), FEATURES))
 
 
-@register("feature_mutual_information")
+_MARKS = [i / 10 for i in range(1, 10)]
+
+
+def _binned(c: str, marks: str) -> str:
+    """Number of marks at or below a value, the middle mark standing in for a missing one."""
+    at = f"COALESCE(CAST({c} AS DOUBLE), {marks}[5])"
+    return f"LIST_SUM(LIST_TRANSFORM({marks}, lambda k: CASE WHEN {at} >= k THEN 1 ELSE 0 END))"
+
+
+def _cells_sql(c: str) -> str:
+    x = f"CAST({c} AS INTEGER)" if c in ("weekday", "month") else _binned(c, "mx")
+    return f"""SELECT '{c}' AS feature, {x} AS x, {_binned('target', 'my')} AS y
+               FROM training, (SELECT QUANTILE_CONT(CAST({c} AS DOUBLE), {_MARKS}) AS mx,
+                                      QUANTILE_CONT(target, {_MARKS}) AS my FROM training)"""
+
+
+@register(
+    "feature_mutual_information",
+    over(
+        """SELECT feature, ROUND(SUM(n * LN(n * CAST(rows AS DOUBLE) / (of_x * of_y)) / rows), 6) + 0
+                    AS mutual_information_train
+           FROM (SELECT feature, n, SUM(n) OVER (PARTITION BY feature) AS rows,
+                        SUM(n) OVER (PARTITION BY feature, x) AS of_x,
+                        SUM(n) OVER (PARTITION BY feature, y) AS of_y
+                 FROM (SELECT feature, x, y, CAST(COUNT(*) AS DOUBLE) AS n FROM cells GROUP BY feature, x, y))
+           GROUP BY feature""",
+        **PARTS,
+        cells=" UNION ALL ".join(_cells_sql(c) for c in FEATURES),
+    ),
+)
 def _(m):
-    return features.mutual_information(features.block(m["split"], "train"))
+    return rounded(features.mutual_information(features.block(m["split"], "train")))
 
 
 @register(
@@ -329,10 +358,12 @@ SELECTED = ["selected", *forecast.BASELINES]
 def model_run(m):
     """Models fitted once for these rows and settings; later sessions open what is stored."""
     train, validation, _test = _parts(m)
-    return m.once(
-        "models",
-        lambda: forecast.stored_run(ModelStore(m.spark), train, validation, k=FOLDS, parallelism=8),
-    )
+
+    def run():
+        features.require_split(m["split"])
+        return forecast.stored_run(ModelStore(m.spark), train, validation, k=FOLDS, parallelism=8)
+
+    return m.once("models", run)
 
 
 def holdout(m):
