@@ -26,7 +26,9 @@ def _components(n, pairs):
     return [root(i) for i in range(n)]
 
 
-def test_components_of_a_chain_a_star_and_nothing(spark):
+@pytest.mark.parametrize("per_salt", [7, 100_000])
+def test_components_of_a_chain_a_star_and_nothing(spark, monkeypatch, per_salt):
+    monkeypatch.setattr(components, "LINKS_PER_SALT", per_salt)
     links = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 50)] + [(7, 7)]
     frame = spark.createDataFrame(links, "a long, b long")
     got = {r["node"]: r["component"] for r in components.components(frame).collect()}

@@ -13,35 +13,38 @@ from pyspark.sql import functions as F
 from tillspark.sources.workspace import materialize, new_folder, remove
 
 
-def _with_least(rows: DataFrame, salts: int) -> DataFrame:
-    """Add `m`, the least `b` of each `a`, to rows (a, b).
+def _with_least(rows: DataFrame, salts: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (a, b) with `m`, the least `b` of their `a`, and the table (a, m).
 
-    A hub of many links is dealt to `salts` parts throughout: its rows meet the minimum by part, and
-    only one row per part meets by `a` alone.
+    With two or more `salts` a hub of many links is dealt to so many parts throughout: its rows meet
+    the minimum by part, and only one row per part meets by `a` alone.
     """
+    if salts < 2:
+        least = rows.groupBy("a").agg(F.min("b").alias("m"))
+        return rows.join(least, "a"), least
     salted = rows.withColumn("s", F.pmod(F.xxhash64("b"), F.lit(salts)))
     parts = salted.groupBy("a", "s").agg(F.min("b").alias("p"))
     least = parts.groupBy("a").agg(F.min("p").alias("m"))
     of_part = parts.select("a", "s").join(least, "a")
-    return salted.join(of_part, ["a", "s"]).drop("s")
+    return salted.join(of_part, ["a", "s"]).drop("s"), least
 
 
 def _large_star(links: DataFrame, salts: int) -> DataFrame:
     """Every larger neighbour of a node is tied to the smallest of the node's neighbourhood."""
     both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    tied = _with_least(both, salts).where("b > a")
-    return tied.select(F.col("b").alias("a"), F.least("m", "a").alias("b"))
+    tied, _ = _with_least(both, salts)
+    return tied.where("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b"))
 
 
 def _small_star(links: DataFrame, salts: int) -> DataFrame:
     """Every smaller neighbour of a node, and the node, are tied to the smallest of them."""
-    tied = _with_least(links, salts)
+    tied, least = _with_least(links, salts)
     smaller = tied.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return smaller.union(tied.select("a", F.col("m").alias("b")))
+    return smaller.union(least.select("a", F.col("m").alias("b")))
 
 
-#: Links for each part into which a hub's links are dealt, and the least number of parts.
-LINKS_PER_SALT, LEAST_SALTS = 100_000, 32
+#: Links for each part into which a hub's links are dealt; so many may meet in one task.
+LINKS_PER_SALT = 100_000
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -67,9 +70,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     now, path, state = written(edges)
     while True:
-        salts = max(LEAST_SALTS, state[0] // LINKS_PER_SALT)
-        tied = _large_star(now, salts).distinct()
-        after, new_path, new_state = written(_small_star(tied, salts).distinct())
+        salts = -(-state[0] // LINKS_PER_SALT)
+        after, new_path, new_state = written(_small_star(_large_star(now, salts), salts).distinct())
         remove(spark, path)
         now, path = after, new_path
         if new_state == state:
