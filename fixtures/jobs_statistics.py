@@ -101,15 +101,87 @@ def _(m):
     return rounded(eda.spearman(m["customers"], ["orders", "average_order", "gross_sales"]))
 
 
-@register("bootstrap_difference_interval")
+def _mixed(x: str) -> str:
+    """The integer hash of resampling.mixed as one expression of a column."""
+    x = f"({x} & 4294967295)"
+    for _ in range(2):
+        x = f"((xor({x} >> 16, {x}) * {resampling.MULTIPLIER}) & 4294967295)"
+    return f"xor({x} >> 16, {x})"
+
+
+def _stream(source: str, seed: int, *parts: str) -> str:
+    """`source` with columns base and step, one nested query per part."""
+    query = f"SELECT *, {_mixed(f'CAST({seed} AS BIGINT)')} AS h FROM {source}"
+    for part in parts:
+        query = f"SELECT * REPLACE ({_mixed(f'(h + {part})')} AS h) FROM ({query})"
+    return f"SELECT * RENAME (h AS base), {_mixed('(h + 1)')} | 1 AS step FROM ({query})"
+
+
+_REPS, _BITS, _CHUNK = 1000, resampling.BLOCK_BITS, resampling.DRAWS_PER_STREAM
+
+# The same draws: positions counted per block first, then drawn inside the blocks.
+_DRAWN = {
+    "placed": f"""SELECT CAST(inside AS BIGINT) AS g, average_order AS x,
+                ROW_NUMBER() OVER (PARTITION BY inside ORDER BY average_order) - 1 AS i FROM eligible
+              WHERE average_order IS NOT NULL""",
+    "sizes": "SELECT g, COUNT(*) AS n FROM placed GROUP BY g",
+    "blocks": f"SELECT g, i >> {_BITS} AS b, COUNT(*) AS rows FROM placed GROUP BY g, i >> {_BITS}",
+    "streams": _stream(
+        f"""(SELECT g, n, rep, UNNEST(RANGE((n - 1) // {_CHUNK} + 1)) AS c
+             FROM (SELECT g, n, UNNEST(RANGE({_REPS})) AS rep FROM sizes))""",
+        42, "g", "rep", "c",
+    ),
+    "first_draws": f"""SELECT g, rep, n, base, {_mixed('(base + i * step)')} AS u FROM (
+                    SELECT *, UNNEST(RANGE(1, LEAST({_CHUNK}, n - c * {_CHUNK}) + 1)) AS i FROM streams)""",
+    "quota": f"""SELECT g, rep, b, COUNT(*) AS m FROM (
+                   SELECT g, rep,
+                     ((u * 2147483648 + ({_mixed('(u + base)')} >> 1)) % n) >> {_BITS} AS b FROM first_draws)
+                 GROUP BY g, rep, b""",
+    "inner_streams": _stream("quota", 43, "g", "rep", "b"),
+    "second_draws": f"""SELECT d.g, d.rep, (d.b << {_BITS}) + ((u * rows) >> 32) AS i FROM (
+                          SELECT g, rep, b, {_mixed('(base + i * step)')} AS u FROM (
+                            SELECT *, UNNEST(RANGE(1, m + 1)) AS i FROM inner_streams)) AS d
+                        JOIN blocks AS k ON k.g = d.g AND k.b = d.b""",
+    "means": """SELECT s.g, rep, SUM(x) / MAX(n) AS mean FROM second_draws AS s
+                JOIN placed AS p ON p.g = s.g AND p.i = s.i
+                JOIN sizes AS z ON z.g = s.g GROUP BY s.g, rep""",
+    "repeated": """SELECT rep, SUM(mean) FILTER (WHERE g = 1) - SUM(mean) FILTER (WHERE g = 0) AS v
+                   FROM means GROUP BY rep""",
+    "interval": """SELECT QUANTILE_CONT(v, 0.025) AS low, QUANTILE_CONT(v, 0.975) AS high,
+                     COUNT(v) AS repetitions FROM repeated""",
+}
+
+
+@register(
+    "bootstrap_difference_interval",
+    over(f"SELECT {_r('low')} AS low, {_r('high')} AS high, repetitions FROM interval", **_DRAWN),
+)
 def _(m):
     groups = _groups(m)
-    return resampling.bootstrap_difference(groups, "average_order", groups["inside"], "customer_id")
+    return rounded(resampling.bootstrap_difference(groups, "average_order", groups["inside"]))
 
 
-@register("block_bootstrap_interval")
+@register(
+    "block_bootstrap_interval",
+    over(
+        f"""SELECT {_r('QUANTILE_CONT(v, 0.025)')} AS low, {_r('QUANTILE_CONT(v, 0.975)')} AS high,
+              COUNT(v) AS repetitions
+            FROM (SELECT rep, CAST(SUM(gross) AS DOUBLE) / MAX(n) AS v FROM picked GROUP BY rep)""",
+        history="""SELECT CAST(gross_sales AS DECIMAL(38, 4)) AS gross,
+                     ROW_NUMBER() OVER (ORDER BY date) - 1 AS i, COUNT(*) OVER () AS n FROM v_daily
+                   WHERE date < (SELECT MAX(date) FROM v_daily)""",
+        places=_stream(
+            """(SELECT n, rep, UNNEST(RANGE((n - 1) // 7 + 1)) AS j
+                FROM (SELECT MAX(n) AS n, UNNEST(RANGE(1000)) AS rep FROM history))""",
+            42, "rep",
+        ),
+        days=f"""SELECT n, rep, first + UNNEST(RANGE(LEAST(7, n - j * 7))) AS i
+                 FROM (SELECT *, ({_mixed('(base + j * step)')} * (n - 6)) >> 32 AS first FROM places)""",
+        picked="SELECT days.rep, days.n, gross FROM days JOIN history ON history.i = days.i",
+    ),
+)
 def _(m):
-    return resampling.block_bootstrap_mean(drop_last_day(m["daily"]))
+    return rounded(resampling.block_bootstrap_mean(drop_last_day(m["daily"])))
 
 
 @register("statistics_report")
@@ -117,15 +189,24 @@ def _(m):
     return stats.statistics_report(m["customers"], m["daily"], CONTRAST_COUNTRY)
 
 
-@register("contrast_interval_table")
+@register(
+    "contrast_interval_table",
+    over(
+        f"""SELECT {_r('center')} AS center, {_r('low')} AS low, {_r('high')} AS high,
+              {_r('GREATEST(0, center - low)')} AS below, {_r('GREATEST(0, high - center)')} AS above
+            FROM interval, (SELECT AVG(average_order) FILTER (WHERE inside)
+                              - AVG(average_order) FILTER (WHERE NOT inside) AS center FROM eligible)""",
+        **_DRAWN,
+    ),
+)
 def _(m):
     groups = _groups(m)
     center = stats.welch(groups, "average_order").select("mean_difference")
-    ends = resampling.bootstrap_difference(
-        groups, "average_order", groups["inside"], "customer_id"
-    )
+    ends = resampling.bootstrap_difference(groups, "average_order", groups["inside"])
     row = center.withColumn("e", ends.select(F.struct("low", "high")).scalar())
-    return eda.interval_table(F.col("mean_difference"), F.col("e.low"), F.col("e.high"), row)
+    return rounded(
+        eda.interval_table(F.col("mean_difference"), F.col("e.low"), F.col("e.high"), row)
+    )
 
 
 @register(

@@ -60,11 +60,7 @@ def test_holm(spark):
 
 def test_bootstrap_interval_properties(groups):
     one, two = (
-        as_dict(
-            resampling.bootstrap_difference(
-                df, "average_order", F.col("inside"), "customer_id", 400
-            )
-        )
+        as_dict(resampling.bootstrap_difference(df, "average_order", F.col("inside"), 400))
         for df in (groups, groups.repartition(5))
     )
     assert one["low"] == pytest.approx(two["low"]) and one["high"] == pytest.approx(two["high"])
@@ -74,10 +70,64 @@ def test_bootstrap_interval_properties(groups):
     assert (one["high"] - one["low"]) / (2 * 1.96 * spread) == pytest.approx(1, abs=0.2)
 
 
-def test_poisson_weights_have_mean_and_variance_one(spark):
-    w = resampling.poisson_one(resampling.uniform(F.col("id"), F.lit(1)))
-    mean, var = spark.range(40_000).agg(F.avg(w), F.var_pop(w)).first()
-    assert mean == pytest.approx(1, abs=0.03) and var == pytest.approx(1, abs=0.05)
+def _hash(x):
+    x &= resampling.WORD
+    for _ in range(2):
+        x = ((x >> 16 ^ x) * resampling.MULTIPLIER) & resampling.WORD
+    return x >> 16 ^ x
+
+
+def _stream(seed, *parts):
+    h = _hash(seed)
+    for part in parts:
+        h = _hash(h + part)
+    return h, _hash(h + 1) | 1
+
+
+def _plain_sum(values, g, rep, seed, bits, chunk):
+    """One repetition in plain Python: blocks are counted, then drawn from."""
+    values, n, quota, total = sorted(values), len(values), {}, 0.0
+    for i in range(n):
+        base, step = _stream(seed, g, rep, i // chunk)
+        u = _hash(base + (i % chunk + 1) * step)
+        b = ((u << 31) + (_hash(u + base) >> 1)) % n >> bits
+        quota[b] = quota.get(b, 0) + 1
+    for b, m in quota.items():
+        base, step = _stream(seed + 1, g, rep, b)
+        part = values[b << bits : b + 1 << bits]
+        total += sum(part[_hash(base + i * step) * len(part) >> 32] for i in range(1, m + 1))
+    return total
+
+
+def test_draws_equal_plain_python_over_many_blocks(groups, monkeypatch):
+    monkeypatch.setattr(resampling, "BLOCK_BITS", 4)
+    monkeypatch.setattr(resampling, "DRAWS_PER_STREAM", 10)
+    got = resampling.resampled_sums(groups, "average_order", F.col("inside"), 20, 7, 15).collect()
+    assert len(got) == 40
+    for r in got:
+        values = A if r["g"] else B
+        assert r["n"] == len(values)
+        want = _plain_sum(values.tolist(), r["g"], r["rep"], 7, 4, 10)
+        assert r["total"] == pytest.approx(want)
+
+
+def test_draws_are_even_and_independent(spark):
+    df = resampling.draw(resampling.stream(spark.range(40_000), 42, "id"), "u", "id")
+    u = F.col("u") / F.lit(2.0**32)
+    mean, var, lag = df.agg(F.avg(u), F.var_pop(u), F.corr(u, F.col("id").cast("double"))).first()
+    assert mean == pytest.approx(0.5, abs=0.01) and var == pytest.approx(1 / 12, abs=0.003)
+    assert abs(lag) < 0.02
+
+
+def test_bootstrap_of_missing_values_and_copies(spark):
+    schema = "average_order double, inside boolean"
+    rows = [(5.0, True)] * 5000 + [(None, True), (float("nan"), False), (9.0, None)]
+    copies = spark.createDataFrame(rows + [(2.0, False)] * 40, schema)
+    got = as_dict(resampling.bootstrap_difference(copies, "average_order", F.col("inside"), 30))
+    assert got == {"low": 3.0, "high": 3.0, "repetitions": 30}
+    for part in (copies.where("inside"), copies.where("false")):
+        lone = as_dict(resampling.bootstrap_difference(part, "average_order", F.col("inside"), 30))
+        assert lone == {"low": None, "high": None, "repetitions": 0}
 
 
 def test_block_bootstrap(spark):
