@@ -51,6 +51,30 @@ def _(m):
     return checks.validate_source(m["source"], SCHEMA, [SCHEMA.sheet])
 
 
+@register(
+    "part_report",
+    over(
+        """SELECT source_sheet AS part, COUNT(*) AS rows, '' AS blocking FROM raw_lines
+           GROUP BY source_sheet
+           UNION ALL SELECT 'without price', COUNT(*), 'missing columns: Price' FROM raw_lines
+           UNION ALL SELECT 'without lines', COUNT(*), 'no rows' FROM raw_lines
+             WHERE line_id IS NULL
+           UNION ALL SELECT 'loaded twice', 2 * COUNT(*), 'line_id is not a key' FROM raw_lines
+           UNION ALL SELECT 'one lost key', COUNT(*), 'line_id is not a key' FROM raw_lines"""
+    ),
+)
+def _(m):
+    """Both sheets, and the same lines broken in four ways: every part is reported."""
+    source = m["source"]
+    first = source.agg(F.min("line_id")).scalar()
+    parts = {s: source.where(F.col(SCHEMA.sheet) == s) for s in ("sheet_1", "sheet_2")}
+    parts["without price"] = source.drop("Price")
+    parts["without lines"] = source.where(F.col("line_id").isNull())
+    parts["loaded twice"] = source.unionByName(source)
+    parts["one lost key"] = source.withColumn("line_id", F.nullif("line_id", first))
+    return checks.part_report(parts, SCHEMA)
+
+
 @register(
     "lineage_key_violations",
     over(

@@ -138,3 +138,21 @@ def test_validation_blocks(spark):
     with pytest.raises(checks.CheckFailed):
         checks.require_lineage(raw.unionByName(raw), SCHEMA)
     checks.require_lineage(raw, SCHEMA)
+
+
+def test_all_parts_are_reported_before_the_stop(spark):
+    raw = raw_frame(spark, source_rows())
+    parts = {
+        "good": raw,
+        "empty and narrow": raw.drop("Price", "Country").limit(0),
+        "without key": raw.drop(SCHEMA.key),
+    }
+    report = checks.part_report(parts, SCHEMA)
+    got = {r["part"]: r["blocking"] for r in report.collect()}
+    assert got["empty and narrow"] == "missing columns: Country, Price; no rows"
+    assert got["without key"] == f"missing columns: {SCHEMA.key}" and got["good"] == ""
+    checks.require_parts(report.where("part = 'good'"))
+    with pytest.raises(checks.CheckFailed, match="empty and narrow.*without key"):
+        checks.require_parts(report)
+    with pytest.raises(checks.CheckFailed):
+        checks.part_report({}, SCHEMA)
