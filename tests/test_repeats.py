@@ -91,3 +91,30 @@ def test_copies_of_lines_are_numbered(spark, how):
     got = sorted((str(r["l_orderkey"]), r["rn"]) for r in numbered_lines(lines).collect())
     assert got == [("1", 1), ("1", 2), ("1", 3), ("2", 1), ("None", 1)]
     assert numbered_lines(lines.where("false")).count() == 0
+
+
+def test_long_lists_do_not_move_single_rows(spark):
+    """More shared hashes than the list may hold: a filter of fixed size still leaves single rows where they are."""
+    rows = spark.range(6000).selectExpr("id", "CAST(IF(id < 1000, id DIV 2, id) AS STRING) AS k")
+    once, rest = repeats.split(rows, ["k"], None, 100)
+    assert once is not None and once.unionAll(rest).exceptAll(rows).isEmpty()
+    found = {r["id"] for r in rest.collect()}
+    assert found >= set(range(1000)) and len(found) < 1100 and once.count() + len(found) == 6000
+    plan = once._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning(k" not in plan
+    marked = cleaning.mark_repeats(rows, ["k"], "again", list_rows=100)
+    assert marked.where("again = (id < 1000)").count() == 6000
+
+
+def test_a_full_filter_compares_all_rows(spark, rows, monkeypatch):
+    monkeypatch.setattr(repeats, "FILTER_BITS", 2)
+    once, rest = repeats.split(rows, ["k"], None, 0)
+    assert once is None and rest.count() == 7
+    assert cleaning.mark_repeats(rows, ["k"], "again", list_rows=0).where("again").count() == 4
+
+
+def test_every_bit_of_a_word(spark):
+    """Bits 0 to 63, the sign bit too: hashes in one word are told apart."""
+    every = spark.range(128).selectExpr("id AS _shared")
+    words = {r["_word"]: r["_bits"] for r in repeats.filter_words(every.where("_shared % 64 IN (0, 63)")).collect()}
+    assert words == {0: -(2**63) + 1, 1: -(2**63) + 1}
