@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from fixtures.retail_lines import LINE, numbered_lines
 from tests.data import SCHEMA, raw_frame, source_rows
 from tillspark.operators import checks, cleaning, profile, repeats
+from tillspark.plans import questions
+from tillspark.schema import STAR_SCHEMAS
 
 
 def _plan(df):
@@ -118,3 +120,20 @@ def test_every_bit_of_a_word(spark):
     every = spark.range(128).selectExpr("id AS _shared")
     words = {r["_word"]: r["_bits"] for r in repeats.filter_words(every.where("_shared % 64 IN (0, 63)")).collect()}
     assert words == {0: -(2**63) + 1, 1: -(2**63) + 1}
+
+
+def test_duplicate_sensitivity_moves_repeated_lines_only(spark, how):
+    def facts(*lines):
+        named = "invoice_id string, customer_id string, unit_price double, gross_sales double"
+        held = spark.createDataFrame(lines, named)
+        rest = [f for f in STAR_SCHEMAS["fact_sales"] if f.name not in held.columns]
+        return {"fact_sales": held.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in rest])}
+
+    twice = [("1", "a", 2.0, 2.0), ("1", "a", 2.0, 2.0), ("1", "a", 2.0, 3.0), (None, None, 0.0, 1.5), (None, None, -0.0, 1.5)]
+    single = [("2", "a", 2.0, 2.0), ("3", None, 4.0, None), ("4", "b", None, 0.25)]
+    ask = lambda *lines: tuple(questions.duplicate_sensitivity(facts(*lines)).first())
+    assert ask(*twice, *single) == (6 + 3 + 2.25, 2 + 1.5 + 2.25, 4 + 1.5)
+    assert ask(*twice) == (9.0, 3.5, 5.5)
+    assert ask(*single) == (2.25, 2.25, 0.0)
+    if how == "hash":
+        assert "Aggregate [invoice_id" not in _plan(questions.duplicate_sensitivity(facts(*single)))
