@@ -1,7 +1,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from fixtures.mart import Mart
 from fixtures.retail_lines import LINE, heavy_orders, joined_lines
+from tillspark.operators import cleaning, transform
 
 
 @pytest.fixture
@@ -53,3 +55,12 @@ def test_lines_are_moved_once(spark, tables):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert plan.count("hashpartitioning(l_orderkey") == 1 and "hashpartitioning(l_partkey" not in plan
+
+
+def test_derived_values_are_not_written(spark, tables):
+    m = Mart(spark, tables[1])
+    written, lines = m["line_rows"].columns, m["lines"]
+    assert "line_id" in written and not {"net_value", "gross_sales", "month", "source_row"} & set(written)
+    want = transform.derive_lines(cleaning.standardize(m["accepted"]))
+    assert lines.columns == want.columns and lines.count() == want.count() > 0
+    assert lines.exceptAll(want).isEmpty()
