@@ -156,3 +156,28 @@ def test_all_parts_are_reported_before_the_stop(spark):
         checks.require_parts(report)
     with pytest.raises(checks.CheckFailed):
         checks.part_report({}, SCHEMA)
+
+
+@pytest.mark.parametrize("list_rows", [None, 0])
+def test_clean_lines_is_flag_then_accept(spark, list_rows):
+    """Equal as raw lines, equal only once cleaned, equal but for a rejected copy, and lines with no equal."""
+    first, second, third = source_rows()[:3]
+    spaced = (*first[:2], "First item", *first[3:])
+    bad = source_rows()[5]
+    nan = (*second[:3], float("nan"), *second[4:])
+    rows = [first, first, first, spaced, second, third, third, bad, bad, nan, nan]
+    sheets = ["a", "b", "b", "b", "a", "a", "a", "a", "b", "a", "a"]
+    raw = raw_frame(spark, rows, sheets).withColumn("src", F.struct("line_id"))
+    flagged, lines = cleaning.clean_lines(raw, SCHEMA, list_rows)
+    want = cleaning.flag_lines(raw, SCHEMA)
+    assert flagged.columns == want.columns and sorted(map(str, flagged.collect())) == sorted(map(str, want.collect()))
+    want = cleaning.accepted(want, SCHEMA)
+    assert lines.columns == want.columns and sorted(map(str, lines.collect())) == sorted(map(str, want.collect()))
+    assert lines.where("ambiguous_duplicate").count() == 5
+
+
+def test_lines_without_an_equal_are_neither_moved_nor_written(spark):
+    raw = raw_frame(spark, source_rows())
+    for df in cleaning.clean_lines(raw, SCHEMA):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and "Aggregate" not in plan and "parquet" not in plan

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from fixtures.mart import Mart
 from fixtures.retail_lines import LINE, heavy_orders, joined_lines
+from fixtures.retail_lines import SCHEMA as cleaning_schema
 from tillspark.operators import cleaning, transform
 
 
@@ -64,3 +65,15 @@ def test_derived_values_are_not_written(spark, tables):
     want = transform.derive_lines(cleaning.standardize(m["accepted"]))
     assert lines.columns == want.columns and lines.count() == want.count() > 0
     assert lines.exceptAll(want).isEmpty()
+
+
+def test_cleaned_lines_are_said_on_read(spark, tables):
+    """Neither flagged lines nor the ids of accepted ones are written, and all is as the operators say it."""
+    m = Mart(spark, tables[1])
+    flagged, lines = m["flagged"], m["lines"]
+    assert lines.count() > 0 and set(m.tables) & set(m.recipes) == {"joined", "line_facts"}
+    assert not {"line_id", "source_row"} & set(m["line_facts"].columns)
+    plain = cleaning.flag_lines(m["source"], cleaning_schema)
+    assert flagged.columns == plain.columns and flagged.exceptAll(plain).isEmpty() and plain.exceptAll(flagged).isEmpty()
+    want = transform.derive_lines(cleaning.standardize(cleaning.accepted(plain, cleaning_schema)))
+    assert lines.columns == want.columns and lines.exceptAll(want).isEmpty() and want.exceptAll(lines).isEmpty()
