@@ -181,3 +181,16 @@ def test_lines_without_an_equal_are_neither_moved_nor_written(spark):
     for df in cleaning.clean_lines(raw, SCHEMA):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert "Join" not in plan and "Aggregate" not in plan and "parquet" not in plan
+
+
+def test_cleaned_texts_need_no_second_look(spark):
+    odd = ["5 .0", "5.0.0", ".0", "7 .0.0 ", "a\u00a0\u2003b", "\n", "x.0\n", "1.0a", "é.0", "0", None, "\u3000.0"]
+    first = source_rows()[0]
+    rows = [(a, b, a, *first[3:6], b, UK) for a in odd for b in odd]
+    kept = cleaning.accepted(cleaning.flag_lines(raw_frame(spark, rows), SCHEMA), SCHEMA).cache()
+    got, want = cleaning.standardize(kept, cleaned=True), cleaning.standardize(kept)
+    plain = lambda c: F.regexp_replace(F.trim(F.regexp_replace(c, r"(?U)\s+", " ")), r"\.0$", "")
+    ids = {"invoice_id": "Invoice", "product_id": "StockCode", "customer_id": "Customer ID"}
+    told = kept.select("line_id", *[plain(F.col(f"`{c}`")).alias(name) for name, c in ids.items()])
+    assert got.columns == want.columns and got.count() == 100
+    assert got.exceptAll(want).isEmpty() and got.select(told.columns).exceptAll(told).isEmpty()

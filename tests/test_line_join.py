@@ -5,6 +5,7 @@ from fixtures.mart import Mart
 from fixtures.retail_lines import LINE, heavy_orders, joined_lines
 from fixtures.retail_lines import SCHEMA as cleaning_schema
 from tillspark.operators import cleaning, transform
+from tillspark.sources.workspace import materialize
 
 
 @pytest.fixture
@@ -77,3 +78,25 @@ def test_cleaned_lines_are_said_on_read(spark, tables):
     assert flagged.columns == plain.columns and flagged.exceptAll(plain).isEmpty() and plain.exceptAll(flagged).isEmpty()
     want = transform.derive_lines(cleaning.standardize(cleaning.accepted(plain, cleaning_schema)))
     assert lines.columns == want.columns and lines.exceptAll(want).isEmpty() and want.exceptAll(lines).isEmpty()
+
+
+def test_cleaning_is_compiled_and_passes_over_the_source_twice(spark, tables, monkeypatch):
+    """The JVM compiles no method over 8,000 bytes; hashes and the one write each read the joined lines."""
+    written = {}
+
+    def spy(df, path):
+        written[path.rsplit("/", 1)[-1].split("-")[0]] = df
+        return materialize(df, path)
+
+    for module in ("fixtures.mart", "tillspark.operators.cleaning", "tillspark.operators.repeats"):
+        monkeypatch.setattr(f"{module}.materialize", spy)
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        m = Mart(spark, tables[1])
+        assert m["flagged"].count() > 0 and {"flagged_rows", "equal", "hashes"} <= set(written)
+        stages = written["flagged_rows"]._jdf.queryExecution().debug().codegenToSeq()
+        assert max(stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())) <= 8000
+        assert not any("joined" in f for f in written["equal"].inputFiles())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
